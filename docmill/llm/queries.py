@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import knn, mixing, splitting, tokens
+from docmill.llm import knn, lookalike, mixing, splitting, tokens
 from docmill.session import table
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    parents = table(spark, d, "parent_docs").select(F.lit("parent_docs").alias("tbl"), F.col("parent_id").alias("rec_id"), F.col("content").alias("text"))
+    previews = table(spark, d, "file_previews").select(F.lit("file_previews").alias("tbl"), F.col("preview_id").alias("rec_id"), F.col("preview_text").alias("text"))
+    return parents.unionByName(previews)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    unified = lookalike.unify(_records(spark, d), ["tbl", "rec_id"], "text", with_text=False)
+    return lookalike.same_look_pairs(unified, "tbl", "rec_id")
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.unify(_records(spark, d), ["tbl", "rec_id"], "text").select("tbl", "rec_id", "text")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embed_vectors").select("vec_id", "vectors", "is_probe")
     return knn.neighbor_pairs(knn.nearest(vectors, k=5, dim=64, query=F.col("is_probe")))
@@ -50,7 +65,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_neighbors, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_text, p5_found, p5_neighbors, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
 
 
 _PROPER = """select vec_id, is_probe, cast(vectors as double[]) as v from embed_vectors
