@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import knn, lookalike, mixing, splitting, tokens
+from docmill.llm import knn, lookalike, markup, mixing, splitting, tokens
 from docmill.session import table
 
 
@@ -25,6 +25,15 @@ def p2_text(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(_records(spark, d), ["tbl", "rec_id"], "text").select("tbl", "rec_id", "text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    stripped = markup.strip_markup(table(spark, d, "parent_docs"), ["parent_id"], "content")
+    return stripped.where(F.col("marks") > 0).select("parent_id").distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.strip_markup(table(spark, d, "parent_docs"), ["parent_id"], "content")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embed_vectors").select("vec_id", "vectors", "is_probe")
     return knn.neighbor_pairs(knn.nearest(vectors, k=5, dim=64, query=F.col("is_probe")))
@@ -65,7 +74,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_text, p5_found, p5_neighbors, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_clean, p5_found, p5_neighbors, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
 
 
 _PROPER = """select vec_id, is_probe, cast(vectors as double[]) as v from embed_vectors
