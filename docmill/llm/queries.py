@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import knn, lookalike, markup, mixing, splitting, tokens
+from docmill.llm import encoding, knn, lookalike, markup, mixing, splitting, tokens
 from docmill.session import table
 
 
@@ -16,6 +16,14 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return parents.unionByName(previews)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(_records(spark, d), ["tbl", "rec_id"])
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repaired(_records(spark, d), ["tbl", "rec_id"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     unified = lookalike.unify(_records(spark, d), ["tbl", "rec_id"], "text", with_text=False)
     return lookalike.same_look_pairs(unified, "tbl", "rec_id")
@@ -74,7 +82,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_clean, p5_found, p5_neighbors, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_text, p3_found, p3_clean, p5_found, p5_neighbors, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
 
 
 _PROPER = """select vec_id, is_probe, cast(vectors as double[]) as v from embed_vectors
