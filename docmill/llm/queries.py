@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import encoding, knn, lookalike, markup, mixing, splitting, tokens
+from docmill.llm import encoding, knn, lookalike, markup, mixing, splitting, subjects, tokens
 from docmill.session import table
 
 
@@ -81,8 +81,24 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "file_path")
+    model = subjects.fit_subjects(docs, table(spark, d, "subject_seeds"), table(spark, d, "subject_areas"))
+    return subjects.subjects_of(docs, model)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and signs of text on each subject."""
+    held = p9_subjects(spark, d).join(table(spark, d, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    return held.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum(F.col("share") * F.col("n"))).cast("long").alias("signs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_text, p3_found, p3_clean, p5_found, p5_neighbors, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_text, p3_found, p3_clean, p5_found, p5_neighbors, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_subjects, p9_composition)}
 
 
 _PROPER = """select vec_id, is_probe, cast(vectors as double[]) as v from embed_vectors
