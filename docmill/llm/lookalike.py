@@ -27,15 +27,15 @@ a а  c сϲ  d ԁ  e е  h һ  i і  j јϳ  l ӏ  o оο  p рρ  q ԛ  s ѕ
 Г Γ  П Π  Ф Φ  к κ
 """
 #: Signs of no width, blanks that stand between words, line ends.
-NO_WIDTH = "­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
-BLANKS = "              　"
-LINE_ENDS = ("\r\n", "\r", "\u0085", " ", " ")
+NO_WIDTH = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+BLANKS = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+LINE_ENDS = ("\r\n", "\r", "\u0085", "\u2028", "\u2029")
 #: Ranges whose compatibility forms look like what they stand for: radicals, ligatures, Arabic forms, half and full width.
 SAME_LOOK = ((0x2E80, 0x2FDF), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC), (0xFF01, 0xFFEE))
 
 #: Joiners between pictographs, and between letters of scripts that join, do change the picture; they stay.
-_joining = regex.compile(r"(?<=[\p{Extended_Pictographic}️\U0001F3FB-\U0001F3FF])‍(?=\p{Extended_Pictographic})|(?<=[\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Tamil}\p{Malayalam}\p{Sinhala}\p{Mongolian}]\p{M}*)[‌‍](?=[\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Tamil}\p{Malayalam}\p{Sinhala}\p{Mongolian}])")
-_kept = {"‌": "\U000f0000", "‍": "\U000f0001"}  # private stand-ins while a text is rewritten
+_joining = regex.compile("(?<=[\\p{Extended_Pictographic}\ufe0f\U0001F3FB-\U0001F3FF])\u200d(?=\\p{Extended_Pictographic})|(?<=[\\p{Arabic}\\p{Syriac}\\p{Devanagari}\\p{Bengali}\\p{Tamil}\\p{Malayalam}\\p{Sinhala}\\p{Mongolian}]\\p{M}*)[\u200c\u200d](?=[\\p{Arabic}\\p{Syriac}\\p{Devanagari}\\p{Bengali}\\p{Tamil}\\p{Malayalam}\\p{Sinhala}\\p{Mongolian}])")
+_kept = {"\u200c": "\U000f0000", "\u200d": "\U000f0001"}  # private stand-ins while a text is rewritten
 
 
 class Classes:
@@ -101,7 +101,7 @@ def normal(text: str) -> str:
     """Canonical decomposition, under which an accented letter is its letter and its accents, in one order."""
     if text.isascii():
         return text
-    if "‌" in text or "‍" in text:
+    if "\u200c" in text or "\u200d" in text:
         text = _joining.sub(lambda m: _kept[m[0]], text)
     return unicodedata.normalize("NFD", text)
 
@@ -130,6 +130,7 @@ class Rewriter:
                     self.automaton.add_word(x, (len(x), best))
                     pairs += 1
         self.automaton.make_automaton()
+        self.ascii_moves = any(code < 128 for code in self.singles)
         self.longer = regex.compile("|".join(regex.escape(x) for x in self.automaton.keys())) if pairs else None
         shared = {x for own in self.scripts.values() for x in own}
         self.only = {s: regex.compile(rf"(?![{''.join(sorted(shared))}])\p{{{s}}}") for s in self.scripts}
@@ -145,7 +146,7 @@ class Rewriter:
                 out += [text[at : end + 1 - size], best]
                 at = end + 1
             text = "".join([*out, text[at:]])
-        if not text.isascii():
+        if self.ascii_moves or not text.isascii():
             text = unicodedata.normalize("NFD", text.translate(self.singles))
         return text
 
@@ -160,7 +161,8 @@ class Rewriter:
                 mine = [s for s, p in self.only.items() if p.search(word)]
                 return word.translate(self.back[mine[0] if len(mine) == 1 else main])
 
-            skeleton = self.words.sub(one, skeleton) if votes["Cyrillic"] or votes["Greek"] else skeleton
+            if self.ascii_moves or votes["Cyrillic"] or votes["Greek"]:
+                skeleton = self.words.sub(one, skeleton)
             skeleton = unicodedata.normalize("NFC", skeleton)
             for joiner, held in _kept.items():
                 skeleton = skeleton.replace(held, joiner)

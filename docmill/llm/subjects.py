@@ -227,6 +227,8 @@ def subjects_of(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 part = batch.iloc[start : start + 500]
                 got = shares(weights, bias, hasher, part["text"].tolist())
                 row, s = np.nonzero((got >= least[None, :]) & (got > 0))
+                if not len(row):
+                    continue
                 yield pd.DataFrame({id_col: part["id"].to_numpy()[row], "subject": [names[j] for j in s], "share": got[row, s]})
 
     source = docs.where(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
