@@ -60,9 +60,22 @@ class Bigrams:
 
     def __init__(self, counts: np.ndarray, total: int):
         self.logs = np.log(np.maximum(counts, 0.2) / max(total, 1)).astype(np.float32)
+        self.usual = max(USUAL, float(np.log(5 / max(total, 1))))  # five times are usual in the smallest corpus only
 
         self.memo: dict[str, float | None] = {}
 
+    def share(self, df: DataFrame):
+        """A broadcast of the table: BUCKETS numbers."""
+        return df.sparkSession.sparkContext.broadcast((self.logs, self.usual))
+
+    @classmethod
+    def shared(cls, held: tuple[np.ndarray, float]) -> Bigrams:
+        """The table on a worker."""
+        own = cls.__new__(cls)
+        own.logs, own.usual = held
+        own.memo = {}
+        return own
+
     def of(self, folded: np.ndarray) -> np.ndarray:
         """Of all neighbours in folded code points."""
         alone = np.full(2 * len(folded), ALONE, folded.dtype)
@@ -85,7 +98,7 @@ class Bigrams:
 
     def mean(self, text: str) -> tuple[float, int]:
         """Mean over the bigrams that hold a sign beyond ASCII, and their number. Where there is none, the mean of usual ones."""
-        if len(text) < 80:
+        if len(text) < 48:
             values = [v for i in range(len(text) - 1) if (v := self.one(text[i : i + 2])) is not None]
             return (sum(values) / len(values), len(values)) if values else (-8.0, max(1, len(text) - 1))
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -96,6 +109,24 @@ class Bigrams:
         return float(values.mean()), int(far.sum())
 
 
+class Means:
+    """Means of the bigrams of pieces of one text, from running sums that are made when first needed."""
+
+    def __init__(self, text: str, bigrams: Bigrams):
+        self.text, self.bigrams, self.sums = text, bigrams, None
+
+    def of(self, start: int, end: int) -> float:
+        """Of the piece and the signs beside it."""
+        if self.sums is None:
+            codes = np.frombuffer(f"\n{self.text}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
+            far = (codes[:-1] > 127) | (codes[1:] > 127)
+            values = np.where(far, self.bigrams.of(fold(codes)), 0)
+            self.sums = np.concatenate([[0], np.cumsum(values, dtype=np.float64)]), np.concatenate([[0], np.cumsum(far)])
+        sums, numbers = self.sums
+        n = numbers[end + 1] - numbers[start]
+        return (sums[end + 1] - sums[start]) / n if n else -8.0
+
+
 def count_bigrams(texts: DataFrame, text_col: str) -> Bigrams:
     """The bigrams of all texts. Each task sends its counts per bucket once; BUCKETS rows at most reach the driver."""
 
@@ -166,6 +197,7 @@ _cyrillic = re.compile("(?<![A-Za-z])[\u0400-\u045f](?:[\u0400-\u045f ]*[\u0400-
 _boxes = re.compile("[\u2500-\u25a0\u0400-\u045f\u0370-\u03ff\xa0-\xff\u2219-\u2265]{3,}")
 _box = re.compile("[\u2550-\u256c\u2580-\u2593]")
 _han = re.compile("[\u2000-\u206f\u2e80-\ud7ff\uff00-\uffef\ue000-\uf8ff\u0370-\u04ff\u2190-\u27ff]*[\u3100-\u9fff\ue000-\uf8ff][\u2000-\u206f\u2e80-\ud7ff\uff00-\uffef\ue000-\uf8ff\u0370-\u04ff\u2190-\u27ff]*")
+_runs = re.compile("[^\x00-\x7f]{2,}")
 _far_east = re.compile("[\u3100-\u9fff]")
 
 
@@ -183,11 +215,16 @@ def readings(text: str, bigrams: Bigrams) -> list[Reading]:
     """All readings of the suspicious pieces of a text, by every swap that its bytes allow."""
     out: list[Reading] = []
     signs = set(text)
+    runs = [m.span() for m in _runs.finditer(text)]
+    if not runs:
+        return out if not _far_east.search(text) else _lone_han(text, out)
+    means = Means(text, bigrams)
+    boxed = any("\u2500" <= c <= "\u25a0" for c in signs)  # what half the bytes are in these two code pages
     for name in SEEN_AS:
         leads, tails, shape = shapes(name)
-        if leads.isdisjoint(signs) or tails.isdisjoint(signs):
+        if leads.isdisjoint(signs) or tails.isdisjoint(signs) or name in ("koi8_r", "cp866") and not boxed:
             continue
-        for m in shape.finditer(text):
+        for m in [m for a, b in runs for m in shape.finditer(text, a, b)]:
             said = m[0]
             for _ in range(3):  # some texts were decoded wrongly twice
                 said = shape.sub(lambda x: x[0].translate(to_bytes(name)).encode("latin-1").decode("utf-8", "replace"), said)
@@ -196,38 +233,45 @@ def readings(text: str, bigrams: Bigrams) -> list[Reading]:
             if _written.match(said) and not (len(m[0]) <= 4 and _twins.issuperset(m[0])):
                 out.append(Reading(m.start(), m.end(), f"utf_8>{name}", said))
     if _far_east.search(text):
-        for m in _han.finditer(text):
-            held = m[0].encode("gb18030", "replace")
-            said = held.decode("utf-8", "replace")
-            lost = said.count("\ufffd")
-            if lost <= 0.25 * len(said) and not said.isascii():
-                out.append(Reading(m.start(), m.end(), "utf_8>gb18030", said))
+        _lone_han(text, out)
     for m in _foreign.finditer(text):
-        _single(text, m.start(), m.end(), ("cp1252", "mac_roman"), bigrams, out)
+        _single(text, m.start(), m.end(), ("cp1252", "mac_roman"), means, out)
     if any("\u0400" <= c <= "\u045f" for c in signs) and not _mixed.search(text):
         for m in _cyrillic.finditer(text):
             if m.end() - m.start() > 2:
-                _single(text, m.start(), m.end(), CYRILLIC, bigrams, out)
-    if _box.search(text):
+                _single(text, m.start(), m.end(), CYRILLIC, means, out)
+    if boxed and _box.search(text):
         for m in _boxes.finditer(text):
             if _box.search(m[0]):
-                _single(text, m.start(), m.end(), ("cp437", "cp866", "koi8_r"), bigrams, out)
+                _single(text, m.start(), m.end(), ("cp437", "cp866", "koi8_r"), means, out)
     return out
 
 
-def _single(text: str, start: int, end: int, seen: tuple[str, ...], bigrams: Bigrams, out: list[Reading]) -> None:
+def _lone_han(text: str, out: list[Reading]) -> list[Reading]:
+    """Adds the readings of pieces that hold Chinese signs as UTF-8 read as GB 18030."""
+    for m in _han.finditer(text):
+        said = m[0].encode("gb18030", "replace").decode("utf-8", "replace")
+        if not said.isascii() and said.count("\ufffd") <= 0.25 * len(said):
+            out.append(Reading(m.start(), m.end(), "utf_8>gb18030", said))
+    return out
+
+
+def _single(text: str, start: int, end: int, seen: tuple[str, ...], means: Means, out: list[Reading]) -> None:
     """Readings of a piece with one or two bytes a letter, unless its bigrams are usual ones."""
     piece = text[start:end]
-    if bigrams.mean(text[max(0, start - 1) : end + 1])[0] > USUAL:
+    if means.of(start, end) > means.bigrams.usual:
         return
     for name in seen:
         try:
             held = piece.translate(to_bytes(name)).encode("latin-1")
         except UnicodeError:
             continue
-        for written in CYRILLIC if name in LATIN else (*CYRILLIC, *LATIN):
-            said = "".join([page(written)[b] for b in held])
-            if written != name and said != piece and ("\xa0" not in said or "\xa0" in piece) and sum(map(str.isalpha, said)) >= 0.6 * len(said.replace(" ", "")):
+        for written in CYRILLIC:  # a Latin text has no three accented letters in a row
+            if written == name:
+                continue
+            said = held.decode(written, "replace")
+            small = sum(map(str.islower, said))
+            if small >= 0.5 * len(said.replace(" ", "")) and said != piece and ("\xa0" not in said or "\xa0" in piece):
                 out.append(Reading(start, end, f"{written}>{name}", said))
         if name in ("cp1252", "mac_roman", "cp1251", "koi8_r", "cp437"):
             for written in DOUBLE:
@@ -255,8 +299,7 @@ def gain(text: str, r: Reading, bigrams: Bigrams) -> float:
 
 def is_cipher(swap: str) -> bool:
     """Whether a swap stands one sign for one letter."""
-    written, seen = swap.split(">")
-    return written in CYRILLIC or written in LATIN
+    return swap.split(">")[0] in CYRILLIC
 
 
 def suspects(records: DataFrame, keys: list[str], text_col: str, bigrams: Bigrams) -> DataFrame:
@@ -266,11 +309,10 @@ def suspects(records: DataFrame, keys: list[str], text_col: str, bigrams: Bigram
     that stand one sign for one letter. A row with null swap marks signs that no text in order has.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keys).schema)
-    shared = records.sparkSession.sparkContext.broadcast(bigrams.logs)  # BUCKETS numbers
+    shared = bigrams.share(records)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Bigrams.__new__(Bigrams)
-        model.logs, model.memo = shared.value, {}
+        model = Bigrams.shared(shared.value)
         seen: dict[tuple, float] = {}
         for batch in batches:
             rows = []
@@ -316,7 +358,7 @@ def learn_letters(pairs: pd.DataFrame, swap: str, bigrams: Bigrams) -> pd.DataFr
     signs = sorted((set(pairs.x) | set(pairs.y)) & set(table))
     if not signs or not letters:
         return pd.DataFrame({"sign": [], "letter": [], "sure": []})
-    known = sorted((set(pairs.x) | set(pairs.y)) - set(table))
+    known = sorted((set(pairs.x) | set(pairs.y)) - set(table) - set(letters))
     states = letters + known
     number = {s: i for i, s in enumerate(states)}
     codes = fold(np.array([ord(s) for s in states], np.uint32))
@@ -401,11 +443,10 @@ def learn(records: DataFrame, keys: list[str], text_col: str, source: str) -> Le
     at = F.explode(F.sequence(F.lit(1), F.length("piece") + 1))
     pairs = pieces.select("swap", padded.alias("p"), at.alias("i")).select("swap", F.expr("substring(p, i, 1)").alias("x"), F.expr("substring(p, i + 1, 1)").alias("y"))
     pairs = pairs.groupBy("swap", "x", "y").agg(F.count("*").alias("n"))
-    shared = records.sparkSession.sparkContext.broadcast(bigrams.logs)
+    shared = bigrams.share(records)
 
     def cipher(held: pd.DataFrame) -> pd.DataFrame:
-        model = Bigrams.__new__(Bigrams)
-        model.logs, model.memo = shared.value, {}
+        model = Bigrams.shared(shared.value)
         name = held["swap"].iloc[0]
         return learn_letters(held, name, model).assign(swap=name)[["swap", "sign", "letter", "sure"]]
 
@@ -417,8 +458,7 @@ def learn(records: DataFrame, keys: list[str], text_col: str, source: str) -> Le
     @F.pandas_udf("double")
     def anew(swap: pd.Series, signs: pd.Series) -> pd.Series:
         """The mean gain of each bigram under the learned letters."""
-        model = Bigrams.__new__(Bigrams)
-        model.logs, model.memo = shared.value, {}
+        model = Bigrams.shared(shared.value)
         out = []
         for name, held in zip(swap, signs):
             if held is None or not len(held):
@@ -476,12 +516,11 @@ def repaired(records: DataFrame, keys: list[str], text_col: str = "text", source
     swaps = known.believed.groupBy(*keys).agg(F.collect_set("swap").alias("swaps"))
     texts = records.select(*keys, F.col(text_col).alias("text")).dropDuplicates(keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keys).schema)
-    shared = records.sparkSession.sparkContext.broadcast(known.bigrams.logs)
+    shared = known.bigrams.share(records)
     letters = known.letters
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Bigrams.__new__(Bigrams)
-        model.logs, model.memo = shared.value, {}
+        model = Bigrams.shared(shared.value)
         for batch in batches:
             rows = []
             for *key, text, names in batch.itertuples(index=False, name=None):
