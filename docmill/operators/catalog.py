@@ -23,8 +23,14 @@ PRIORITY = {".md": 3, ".docx": 2, ".txt": 1}
 
 
 def glob_regex(pattern: str) -> str:
-    """A file-name pattern as a regular expression for the whole path; * and ? cross slashes."""
+    """A file-name pattern as a regular expression to be found in a path; * and ? cross slashes.
+
+    Stars at the ends only lift the anchors, and neighbouring stars are one, so matching stays linear in the usual cases.
+    """
     out, i = "", 0
+    pattern = re.sub(r"\*+", "*", pattern)
+    head, tail = "" if pattern.startswith("*") else "^", "" if pattern.endswith("*") else "$"
+    pattern = pattern.strip("*") if pattern != "*" else ""
     while i < len(pattern):
         c = pattern[i]
         end = pattern.find("]", i + 2) if c == "[" else -1
@@ -35,7 +41,7 @@ def glob_regex(pattern: str) -> str:
         else:
             out += {"*": ".*", "?": "."}.get(c, re.escape(c))
         i += 1
-    return f"(?s)^{out}$"
+    return f"(?s){head}{out}{tail}"
 
 
 def name_of(path: Column | str) -> Column:

@@ -72,11 +72,11 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents as text blocks, five a page, larger where they are shorter."""
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "x"))
     size = F.when(F.length("x") < 40, 14.0).when(F.length("x") < 80, 12.5).otherwise(10.0)
-    return lines.select("file", (F.floor(F.col("pos") / 5) + 1).cast("int").alias("page_number"), (F.col("pos") + 1).cast("int").alias("ordinal"), F.trim("x").alias("text"), size.alias("max_font_size"), F.lit(1).alias("line_count")).where("text <> ''")
+    return lines.select("file", (F.floor(F.col("pos") / 5) + 1).cast("int").alias("page_number"), (F.col("pos") + 1).cast("int").alias("ordinal"), F.regexp_replace("x", "^ +| +$", "").alias("text"), size.alias("max_font_size"), F.lit(1).alias("line_count")).where("text <> ''")
 
 
-BLOCKS = """blocks as (select file, cast((i - 1) // 5 + 1 as int) as page_number, cast(i as int) as ordinal, trim(x) as text, case when length(x) < 40 then 14.0 when length(x) < 80 then 12.5 else 10.0 end::double as max_font_size
- from (select doc_id as file, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where trim(x) <> '')"""
+BLOCKS = """blocks as (select file, cast((i - 1) // 5 + 1 as int) as page_number, cast(i as int) as ordinal, regexp_replace(x, '^ +| +$', '', 'g') as text, case when length(x) < 40 then 14.0 when length(x) < 80 then 12.5 else 10.0 end::double as max_font_size
+ from (select doc_id as file, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_replace(x, '^ +| +$', '', 'g') <> '')"""
 
 
 def parents(spark: SparkSession, d: str) -> DataFrame:
@@ -93,11 +93,11 @@ PARENTS = """parents as (select parent_id, content, kb_name, m->>'$.doc_type' as
 def children(spark: SparkSession, d: str) -> DataFrame:
     """The filled lines of parents as their children."""
     lines = parents(spark, d).select("parent_id", F.posexplode(F.split("content", "\n")).alias("child_no", "content"))
-    return lines.where(F.trim("content") != "").withColumn("child_id", F.concat("parent_id", F.lit("#"), F.col("child_no").cast("string")))
+    return lines.where(F.regexp_replace("content", "^ +| +$", "") != "").withColumn("child_id", F.concat("parent_id", F.lit("#"), F.col("child_no").cast("string")))
 
 
 CHILDREN = """children as (select parent_id, cast(i - 1 as int) as child_no, x as content, parent_id || '#' || (i - 1) as child_id from (select parent_id, unnest(string_split(content, chr(10))) as x,
- generate_subscripts(string_split(content, chr(10)), 1) as i from parents) where trim(x) <> '')"""
+ generate_subscripts(string_split(content, chr(10)), 1) as i from parents) where regexp_replace(x, '^ +| +$', '', 'g') <> '')"""
 
 
 def proper_vectors(spark: SparkSession, d: str) -> DataFrame:

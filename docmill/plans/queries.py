@@ -297,7 +297,7 @@ def promote_subsections(spark, d):
 
 @query()
 def parent_drafts(spark, d):
-    return structure.drafts(table(spark, d, "pdf_sections"), "file_path", "section_id")
+    return structure.drafts(table(spark, d, "pdf_sections"), "file_path", "section_id").drop("document_title")
 
 
 @query()
