@@ -172,7 +172,7 @@ def timeline_view(events: DataFrame, view: str = "all") -> DataFrame:
     return events
 
 
-def resume_error(payload: Column, default: str = "the interrupted run failed") -> Column:
+def resume_error(payload: Column, default: str = "confirm_send 执行失败。") -> Column:
     """The first filled of message, user_hint, operator_hint and summary of a JSON payload."""
     return F.coalesce(first_filled(*[F.get_json_object(payload, f"$.{k}") for k in ("message", "user_hint", "operator_hint", "summary")]), F.lit(default))
 
@@ -206,3 +206,91 @@ def summary_of(tool: Column | str, payload: Column | str) -> Column:
         .when(col(tool) == "read_file_content", F.concat(F.lit("read "), F.coalesce(get("name"), F.lit(""))))
         .otherwise(F.lit("ok"))
     )
+
+
+#: Kinds of content blocks, tools that are not offered, signs of a result that is shown as it is.
+TEXT_KINDS, REASONING_KINDS, INTERNAL_TOOLS, RESULT_MOST = ("text", "output_text"), ("reasoning", "thinking", "reasoning_content"), ("clear_client_state",), 240
+
+
+def ai_content(blocks: Column, reasoning: Column | None = None) -> Column:
+    """struct(text, reasoning) of content blocks (type, text): texts and reasoning apart, each joined by line feeds; reasoning goes after what is there."""
+    joined = lambda kinds, *head: F.array_join(F.filter(F.concat(F.array(*head).cast("array<string>"), F.transform(F.filter(F.coalesce(blocks, F.array()), lambda b: b["type"].isin(*kinds)), lambda b: b["text"])), lambda t: t.isNotNull() & (t != "")), "\n")
+    return F.struct(joined(TEXT_KINDS).alias("text"), joined(REASONING_KINDS, *([reasoning] if reasoning is not None else [])).alias("reasoning"))
+
+
+def with_tool_results(messages: DataFrame, results: DataFrame) -> DataFrame:
+    """messages (thread_id, tools: array of structs with id) whose tools also have the last result of their id.
+
+    The results of a thread come as one map, so a message's tools are patched where they stand.
+    """
+    last = results.where(F.col("call_id").isNotNull()).groupBy("thread_id", "call_id").agg(F.max_by("result", "seq").alias("result"))
+    held = last.groupBy("thread_id").agg(F.map_from_entries(F.collect_list(F.struct("call_id", "result"))).alias("_held"))
+    found = lambda t: F.when(F.col("_held").isNotNull(), F.try_element_at("_held", t["id"]))
+    return messages.join(held, "thread_id", "left").withColumn("tools", F.transform("tools", lambda t: F.struct(t["id"].alias("id"), found(t).alias("result")))).drop("_held")
+
+
+def pending_interrupts(events: DataFrame) -> DataFrame:
+    """(thread_id, finished_seq, message_seq, token): interrupts that a finished run attaches to the last assistant message before it; null message where there is none.
+
+    An interrupt waits for the next run_finished of its thread; of several the last counts.
+    """
+    w = in_order()
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    done = F.sum((F.col("type") == "run_finished").cast("int")).over(so_far)
+    rows = events.withColumn("_run", F.coalesce(done, F.lit(0))).withColumn("_assistant", F.last(F.when(F.col("type") == "message_start", F.col("seq")), True).over(so_far))
+    token = F.last(F.when(F.col("type") == "interrupt", F.col("token")), True).over(Window.partitionBy("thread_id", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_token", token).where((F.col("type") == "run_finished") & F.col("_token").isNotNull())
+    return rows.select("thread_id", F.col("seq").alias("finished_seq"), F.col("_assistant").alias("message_seq"), F.col("_token").alias("token"))
+
+
+def visible(text: Column, reasoning: Column, tools: Column, interrupt: Column, status: Column, running: Column, hide_debug: Column) -> Column:
+    """Whether an assistant message shows anything."""
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    shown = ~hide_debug & (filled(reasoning) | (F.coalesce(F.size(tools), F.lit(0)) > 0))
+    return filled(text) | shown | (interrupt.isNotNull() & ~(running & F.coalesce(status == "pending", F.lit(False))))
+
+
+def stream_outcome(events: DataFrame, missing: str) -> DataFrame:
+    """(thread_id, ok, error): whether the last resolution of a stream is definite; else its message, the last error, or `missing`."""
+    last = lambda kind, c: F.max_by(c, F.when(F.col("type") == kind, F.col("seq")))
+    runs = events.groupBy("thread_id").agg(last("interrupt_resolved", "status").alias("s"), last("interrupt_resolved", "message").alias("m"), last("error", "message").alias("e"))
+    ok = F.coalesce(F.col("s").isin("confirmed", "rejected"), F.lit(False))
+    return runs.select("thread_id", ok.alias("ok"), F.when(~ok, F.coalesce(F.nullif("m", F.lit("")), F.nullif("e", F.lit("")), F.lit(missing))).alias("error"))
+
+
+def offered(tools: DataFrame) -> DataFrame:
+    """Tools without the internal ones."""
+    return tools.where(~F.col("name").isin(*INTERNAL_TOOLS))
+
+
+def result_lines(payload: Column, most: int = 3) -> Column:
+    """A search result's payload as text: its count, keyword and path, then the first results by name and path; other text on one line, cut."""
+    kind = "struct<ok: boolean, error_type: string, message: string, user_hint: string, error: string, keyword: string, path: string, count: bigint, results: array<struct<name: string, full_path: string, size_display: string>>>"
+    one = F.trim(F.regexp_replace(payload, "[\r\n]", " "))
+    p = F.from_json(payload, kind)
+    item = lambda r: F.concat_ws("\n", F.concat(F.lit("- "), F.coalesce(r["name"], F.lit("<unknown>"))), F.concat(F.lit("  "), F.nullif(r["full_path"], F.lit(""))), F.concat(F.lit("  size="), r["size_display"]))
+    head = F.concat(F.lit("hits "), F.coalesce(p["count"], F.lit(0)).cast("string"), F.lit(" | keyword="), F.coalesce(p["keyword"], F.lit("")), F.lit(" | path="), F.coalesce(F.nullif(p["path"], F.lit("")), F.lit("*")))
+    failed = F.concat(F.lit("failed"), F.coalesce(F.concat(F.lit("["), p["error_type"], F.lit("]")), F.lit("")), F.lit(": "), F.coalesce(p["message"], p["user_hint"], p["error"], F.lit("unknown")))
+    good = F.array_join(F.concat(F.array(head), F.transform(F.slice(F.coalesce(p["results"], F.array()), 1, most), item)), "\n")
+    parsed = F.coalesce(F.try_parse_json(payload).isNotNull() & payload.startswith("{"), F.lit(False))
+    return F.when(parsed, F.when(F.coalesce(p["ok"], F.lit(False)), good).otherwise(failed)).otherwise(F.when(F.length(one) > RESULT_MOST, F.concat(F.substring(one, 1, RESULT_MOST), F.lit("..."))).otherwise(one))
+
+
+def confirmed_files(sent: DataFrame) -> DataFrame:
+    """(token, pos, path, status): the files of confirmed sendings, each as sent."""
+    return sent.select("token", F.posexplode("files").alias("pos", "path"), F.lit("sent").alias("status"))
+
+
+def merged_metadata(common: Column, extra: Column) -> Column:
+    """Two maps as one; entries of the second win, unless they are null."""
+    return F.map_zip_with(F.coalesce(common, F.create_map().cast("map<string,string>")), F.coalesce(extra, F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(b, a))
+
+
+def folder_guard(source_ok: Column, candidate: Column, exists: Column, is_dir: Column) -> Column:
+    """The first reason why a folder can't be listed; null if it can."""
+    return F.when(~source_ok, "invalid_candidate_source").when(candidate.isNull(), "candidate_not_found").when(~exists, "directory_not_found").when(~is_dir, "not_a_directory")
+
+
+def read_guard(depth_ok: Column, given: Column, candidate_ok: Column, exists: Column, is_dir: Column, allowed: Column) -> Column:
+    """The first reason why a file can't be previewed; null if it can."""
+    return F.when(~depth_ok | ~given, "invalid_argument").when(~candidate_ok, "candidate_not_found").when(~exists, "file_not_found").when(is_dir, "directory_not_supported").when(~allowed, "preview_not_allowed")

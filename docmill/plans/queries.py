@@ -693,7 +693,7 @@ def client_keys(spark, d):
 @query("select event_id, case event_id % 3 when 0 then event_type when 1 then 'hint' else 'the interrupted run failed' end as message from events")
 def resume_errors(spark, d):
     payload = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("message")))).when(F.col("event_id") % 3 == 1, '{"message": " ", "user_hint": "hint"}').otherwise("{}")
-    return table(spark, d, "events").select("event_id", msg.resume_error(payload).alias("message"))
+    return table(spark, d, "events").select("event_id", msg.resume_error(payload, "the interrupted run failed").alias("message"))
 
 
 @query("select event_id, case event_id % 3 when 0 then (props->>'$.k') || ' results' when 1 then 'error: bad' else 'ok' end as summary from events")
@@ -727,6 +727,92 @@ def latency_windows(spark, d):
     return state.latency_windows(rows).select(F.col("start").cast("timestamp_ntz").alias("start"), "type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
+@query("select draft_id, coalesce(array_to_string(list_filter(texts, lambda x: coalesce(x, '') <> ''), chr(10)), '') as text, array_to_string(list_filter(list_prepend('seen', title_hierarchy), lambda x: coalesce(x, '') <> ''), chr(10)) as reasoning from pdf_drafts")
+def ai_contents(spark, d):
+    part = lambda c, kind: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("type"), x.alias("text")))
+    made = table(spark, d, "pdf_drafts").select("draft_id", msg.ai_content(F.concat(part("title_hierarchy", "thinking"), part("texts", "output_text")), F.lit("seen")).alias("c"))
+    return made.select("draft_id", "c.text", "c.reasoning")
+
+
+@query(f"""with {RUN_EVENTS}, r as (select thread_id, call_id, arg_max(value, seq) as result from run_events where type = 'tool_result' group by 1, 2) select e.thread_id, e.seq, e.call_id as id, cast(result as varchar) as result from run_events e left join r using (thread_id, call_id) where e.type = 'tool_call'""")
+def patched_tools(spark, d):
+    e = fx.run_events(spark, d)
+    held = e.where("type = 'tool_call'").select("thread_id", "seq", F.array(F.struct(F.col("call_id").alias("id"))).alias("tools"))
+    results = e.where("type = 'tool_result'").select("thread_id", "call_id", "seq", F.col("value").cast("string").alias("result"))
+    return msg.with_tool_results(held, results).select("thread_id", "seq", F.col("tools")[0]["id"].alias("id"), F.col("tools")[0]["result"].alias("result"))
+
+
+_RUNS = "k as (select user_id as thread_id, event_id as seq, case event_type when 'view' then 'message_start' when 'purchase' then 'interrupt' when 'signup' then 'run_finished' else 'other' end as type, 't' || event_id as token from events)"
+
+
+@query(f"""with {_RUNS}, n as (select *, coalesce(sum(case when type = 'run_finished' then 1 else 0 end) over (partition by thread_id order by seq rows between unbounded preceding and 1 preceding), 0) as run,
+ max(case when type = 'message_start' then seq end) over (partition by thread_id order by seq rows between unbounded preceding and 1 preceding) as message_seq from k),
+ t as (select *, max(case when type = 'interrupt' then seq end) over (partition by thread_id, run order by seq rows between unbounded preceding and 1 preceding) as i from n) select thread_id, seq as finished_seq, message_seq, 't' || i as token from t where type = 'run_finished' and i is not null""")
+def attached_interrupts(spark, d):
+    kind = F.create_map(*[F.lit(x) for x in ("view", "message_start", "purchase", "interrupt", "signup", "run_finished")])
+    rows = table(spark, d, "events").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("seq"), F.coalesce(kind[F.col("event_type")], F.lit("other")).alias("type"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("token"))
+    return msg.pending_interrupts(rows)
+
+
+@query("select event_id, value > 25 or (event_id % 2 = 0 and event_id % 3 <> 0) or (event_id % 5 = 0 and not (event_id % 7 = 0 and event_id % 4 = 0)) as shown from events")
+def visible_messages(spark, d):
+    n = F.col("event_id")
+    flags = msg.visible(F.when(F.col("value") > 25, "text"), F.when(n % 2 == 0, "thought"), F.array().cast("array<string>"), F.when(n % 5 == 0, "i"), F.when(n % 4 == 0, "pending"), n % 7 == 0, n % 3 == 0)
+    return table(spark, d, "events").select("event_id", flags.alias("shown"))
+
+
+@query("""with k as (select user_id as thread_id, event_id as seq, case event_type when 'signup' then 'interrupt_resolved' when 'purchase' then 'error' else 'x' end as type, case when event_id % 2 = 0 then 'confirmed' else 'error' end as status, case when event_id % 3 = 0 then '' else props end as message from events),
+ g as (select thread_id, arg_max(status, seq) filter (type = 'interrupt_resolved') as s, arg_max(message, seq) filter (type = 'interrupt_resolved') as m, arg_max(message, seq) filter (type = 'error') as e from k group by 1)
+ select thread_id, coalesce(s in ('confirmed', 'rejected'), false) as ok, case when not coalesce(s in ('confirmed', 'rejected'), false) then coalesce(nullif(m, ''), nullif(e, ''), 'none') end as error from g""")
+def stream_outcomes(spark, d):
+    kind = F.create_map(*[F.lit(x) for x in ("signup", "interrupt_resolved", "purchase", "error")])
+    rows = table(spark, d, "events").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("seq"), F.coalesce(kind[F.col("event_type")], F.lit("x")).alias("type"), F.when(F.col("event_id") % 2 == 0, "confirmed").otherwise("error").alias("status"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("props")).alias("message"))
+    return msg.stream_outcome(rows, "none")
+
+
+@query("select event_type as name, count(*) as n from events where event_type <> 'clear_client_state' group by 1")
+def offered_tools(spark, d):
+    return msg.offered(table(spark, d, "events").select(F.col("event_type").alias("name"))).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("""select scan_id, case when status = 'success' then 'hits ' || n_files || ' | keyword=' || kb_name || ' | path=' || root_dir || coalesce(array_to_string(list_transform(modified[:3], lambda x: chr(10) || '- ' || regexp_extract(x, '([^/]+)$', 1) || chr(10) || '  ' || x), ''), '') else 'failed[' || coalesce(status, 'unknown') || ']: ' || kb_name end as shown from scan_results""")
+def result_texts(spark, d):
+    results = F.transform(F.coalesce("modified", F.array().cast("array<string>")), lambda x: F.struct(F.regexp_extract(x, "([^/]+)$", 1).alias("name"), x.alias("full_path")))
+    good = F.to_json(F.struct(F.lit(True).alias("ok"), F.col("n_files").alias("count"), F.col("kb_name").alias("keyword"), F.col("root_dir").alias("path"), results.alias("results")))
+    bad = F.to_json(F.struct(F.lit(False).alias("ok"), F.coalesce("status", F.lit("unknown")).alias("error_type"), F.col("kb_name").alias("message")))
+    return table(spark, d, "scan_results").select("scan_id", msg.result_lines(F.when(F.col("status") == "success", good).otherwise(bad)).alias("shown"))
+
+
+@query("select scan_id, cast(i - 1 as int) as pos, path, 'sent' as status from (select scan_id, unnest(modified) as path, generate_subscripts(modified, 1) as i from scan_results)")
+def confirmed_files(spark, d):
+    sent = table(spark, d, "scan_results").select(F.col("scan_id").alias("token"), F.col("modified").alias("files"))
+    return msg.confirmed_files(sent).withColumnRenamed("token", "scan_id")
+
+
+@query("select scan_id, kb_name as a, coalesce(status, 'none') as b, cast(n_files as varchar) as c from scan_results")
+def merged_metadata(spark, d):
+    common = F.create_map(F.lit("a"), F.col("kb_name"), F.lit("b"), F.lit("none"))
+    extra = F.create_map(F.lit("b"), F.col("status"), F.lit("c"), F.col("n_files").cast("string"))
+    m = table(spark, d, "scan_results").select("scan_id", msg.merged_metadata(common, extra).alias("m"))
+    return m.select("scan_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"), F.col("m")["c"].alias("c"))
+
+
+@query("""select record_id, case when record_id % 11 = 0 then 'invalid_argument' when record_id % 7 = 0 then 'candidate_not_found' when mtime is null then 'file_not_found' when record_id % 13 = 0 then 'directory_not_supported' end as reading,
+ case when record_id % 11 = 0 then 'invalid_candidate_source' when record_id % 7 = 0 then 'candidate_not_found' when mtime is null then 'directory_not_found' when record_id % 13 <> 0 then 'not_a_directory' end as listing from file_records""")
+def guards(spark, d):
+    n, exists = F.col("record_id"), F.col("mtime").isNotNull()
+    reading = msg.read_guard(n % 11 != 0, F.lit(True), n % 7 != 0, exists, n % 13 == 0, catalog.searchable("path"))
+    listing = msg.folder_guard(n % 11 != 0, F.when(n % 7 != 0, n), exists, n % 13 == 0)
+    return table(spark, d, "file_records").select("record_id", reading.alias("reading"), listing.alias("listing"))
+
+
+@query("select scan_id, cast(n_files > 0 as varchar) as b, status as a from scan_results where status is not null")
+def sanitized_metadata(spark, d):
+    m = F.create_map(F.lit("a"), F.col("status"), F.lit("b"), (F.col("n_files") > 0).cast("string"), F.lit("c"), F.lit(""), F.lit("d"), F.lit(None).cast("string"))
+    kept = table(spark, d, "scan_results").where("status is not null").select("scan_id", sinks.sanitized(m).alias("m"))
+    return kept.where(F.size("m") == 2).select("scan_id", F.col("m")["b"].alias("b"), F.col("m")["a"].alias("a"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

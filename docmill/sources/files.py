@@ -310,11 +310,6 @@ def previews(files: DataFrame, depth: str = "L1") -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PREVIEW)
 
 
-def read_guard(depth_ok, given, exists, is_dir, allowed):
-    """The first reason why a file can't be previewed, as a Column; null if it can."""
-    return F.when(~depth_ok, "invalid_argument").when(~given, "invalid_argument").when(~exists, "not_found").when(is_dir, "is_directory").when(~allowed, "restricted_path")
-
-
 def common_metadata(files: DataFrame) -> DataFrame:
     """path, name, size, size_display, modified of a catalogue."""
     from docmill.functions.text import TIME_FORMAT, size_display
