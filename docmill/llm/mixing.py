@@ -9,12 +9,14 @@ each source takes its interval.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from docmill.llm.tokens import TOKENIZERS, token_counts
+from docmill.session import cut_lineage
 
 #: Slices of the hash axis; each is small enough for one task to lay out.
 SLICES = 8192
@@ -155,13 +157,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
         "homes", "tokens", F.to_json(F.col("homes.source")).alias("pattern"), first.alias("first"), F.xxhash64(first, F.lit(seed)).alias("h")
     ).withColumn("slice", F.pmod(F.shiftrightunsigned("h", 40), F.lit(SLICES)).cast("int"))
     # written once: the sizes of the patterns decide the plan before documents are selected
-    from docmill.session import cut_lineage
-
     texts = cut_lineage(texts)
     slices = texts.groupBy("pattern", "slice").agg(F.sum("tokens").alias("n"))
     sizes = {r["pattern"]: int(r["n"]) for r in slices.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
-    import json
-
     members = {p: json.loads(p) for p in sizes}
     flow = plan_mix(sizes, members, share, repeats, total)
     plan = intervals(sizes, flow)
