@@ -405,8 +405,8 @@ def manifest_files(spark, d):
     return quality.manifest_files(files, fx.parents(spark, d), fx.children(spark, d)).withColumn("parent_ids", F.array_join("parent_ids", ","))
 
 
-_QUALITY = """q as (select (select count(*) from parents) as parents, (select coalesce(avg(length(content)), 0) from parents) as parent_mean, (select count_if(length(content) < 120) from parents) as short_parents, (select count_if(coalesce(trim(heading_path), '') = '') from parents) as no_heading,
- (select count(*) from children) as children, (select coalesce(avg(length(content)), 0) from children) as child_mean, (select count_if(length(content) < 80) from children) as short_children, (select count_if(length(content) < 50) from children) as very_short_children, (select count(*) from (select parent_id from children group by 1 having count(*) > 1)) as split_parents)"""
+_QUALITY = """q as (select (select count(*) from parents) as parents, (select coalesce(avg(length(content)), 0) from parents) as parent_mean, (select count_if(length(content) < 120)::bigint from parents) as short_parents, (select count_if(coalesce(trim(heading_path), '') = '')::bigint from parents) as no_heading,
+ (select count(*) from children) as children, (select coalesce(avg(length(content)), 0) from children) as child_mean, (select count_if(length(content) < 80)::bigint from children) as short_children, (select count_if(length(content) < 50)::bigint from children) as very_short_children, (select count(*) from (select parent_id from children group by 1 having count(*) > 1)) as split_parents)"""
 
 
 @query(f"with {PARENTS}, {CHILDREN}, {_QUALITY} select * from q")
@@ -580,7 +580,7 @@ def turn_segments(spark, d):
     return msg.turns(fx.messages(spark, d)).select("thread_id", "idx", "turn", "current")
 
 
-@query(f"with {MESSAGES} select thread_id, count_if(current and role = 'tool') as calls, count_if(current and role = 'tool') >= 10 as over_limit from turned group by 1")
+@query(f"with {MESSAGES} select thread_id, count_if(current and role = 'tool')::bigint as calls, count_if(current and role = 'tool') >= 10 as over_limit from turned group by 1")
 def tool_limit(spark, d):
     return msg.tool_calls_in_turn(fx.messages(spark, d))
 
@@ -648,7 +648,7 @@ def last_replies(spark, d):
     return msg.last_reply(fx.messages(spark, d))
 
 
-@query(f"""with {RUN_EVENTS} select thread_id, coalesce(string_agg(text, '' order by seq) filter (type = 'assistant_delta'), '') as text, count_if(type = 'tool_call') as tool_count, arg_max(value, seq) as usage, arg_max(type, seq) as last_type from run_events group by 1""")
+@query(f"""with {RUN_EVENTS} select thread_id, coalesce(string_agg(text, '' order by seq) filter (type = 'assistant_delta'), '') as text, count_if(type = 'tool_call')::bigint as tool_count, arg_max(value, seq) as usage, arg_max(type, seq) as last_type from run_events group by 1""")
 def conversation_state(spark, d):
     return msg.reduce_threads(fx.run_events(spark, d).withColumn("usage", F.col("value"))).select("thread_id", "text", "tool_count", "usage", "last_type")
 
