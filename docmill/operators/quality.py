@@ -10,10 +10,18 @@ from docmill.functions.text import blank_to_null
 SHORT_PARENT, SHORT_CHILD, VERY_SHORT_CHILD, SHORT_SHARE = 120, 80, 50, 0.3
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Aggregates of one row each as one row: their union, then the value of each column that isn't null. No join is needed."""
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def kb_stats(files: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:
     """One row: files, parents, children."""
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(files, "files").join(one(parents, "parents")).join(one(children, "children"))  # one row each
+    return one_row(one(files, "files"), one(parents, "parents"), one(children, "children"))
 
 
 def manifest_files(files: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:
@@ -29,7 +37,7 @@ def chunk_quality(parents: DataFrame, children: DataFrame) -> DataFrame:
     p = parents.agg(F.count("*").alias("parents"), F.coalesce(F.avg(F.length("content")), F.lit(0.0)).alias("parent_mean"), F.count_if(F.length("content") < SHORT_PARENT).alias("short_parents"), F.count_if(blank_to_null("heading_path").isNull()).alias("no_heading"))
     c = children.agg(F.count("*").alias("children"), F.coalesce(F.avg(F.length("content")), F.lit(0.0)).alias("child_mean"), F.count_if(F.length("content") < SHORT_CHILD).alias("short_children"), F.count_if(F.length("content") < VERY_SHORT_CHILD).alias("very_short_children"))
     m = children.groupBy("parent_id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("split_parents"))
-    return p.join(c).join(m)  # one row each
+    return one_row(p, c, m)
 
 
 def conclusion(quality: DataFrame) -> DataFrame:
