@@ -422,15 +422,15 @@ class Learned:
 
     bigrams: Bigrams
     believed: DataFrame
-    letters: dict[str, dict[str, str]]
+    letters: dict[tuple, dict[str, str]]
 
 
 def learn(records: DataFrame, keys: list[str], text_col: str, source: str) -> Learned:
-    """Both steps of learning. `source` is one of the keys; it must not be null.
+    """Both steps of learning. `source` is one of the keys, with a few values that are never null: what was decoded in one place.
 
     believed has (keys..., lost, swap, gain, odds) for the readings that hold and the lost signs. A reading of a swap that
     stands one sign for one letter must also hold under the letters learned from all its pieces in the source, which are
-    collected: at most 256 for each swap.
+    collected: at most 256 for each source and swap.
     """
     bigrams = count_bigrams(records, text_col)
     rows = cut_lineage(suspects(records, keys, text_col, bigrams))  # read three times below
@@ -438,38 +438,39 @@ def learn(records: DataFrame, keys: list[str], text_col: str, source: str) -> Le
     judged = rows.join(odds, [source, "swap"], "left").withColumn("odds", F.col("gain") + F.coalesce(F.col("odds"), F.lit(0.0)))
     judged = judged.where(F.col("lost") | (F.col("odds") > BELIEVED))
     piece = F.explode("signs")
-    pieces = judged.where(F.size("signs") > 0).select("swap", piece.alias("piece"))
+    pieces = judged.where(F.size("signs") > 0).select(source, "swap", piece.alias("piece"))
     padded = F.concat(F.lit(" "), F.col("piece"), F.lit(" "))
     at = F.explode(F.sequence(F.lit(1), F.length("piece") + 1))
-    pairs = pieces.select("swap", padded.alias("p"), at.alias("i")).select("swap", F.expr("substring(p, i, 1)").alias("x"), F.expr("substring(p, i + 1, 1)").alias("y"))
-    pairs = pairs.groupBy("swap", "x", "y").agg(F.count("*").alias("n"))
+    pairs = pieces.select(source, "swap", padded.alias("p"), at.alias("i")).select(source, "swap", F.expr("substring(p, i, 1)").alias("x"), F.expr("substring(p, i + 1, 1)").alias("y"))
+    pairs = pairs.groupBy(source, "swap", "x", "y").agg(F.count("*").alias("n"))
     shared = bigrams.share(records)
 
     def cipher(held: pd.DataFrame) -> pd.DataFrame:
         model = Bigrams.shared(shared.value)
-        name = held["swap"].iloc[0]
-        return learn_letters(held, name, model).assign(swap=name)[["swap", "sign", "letter", "sure"]]
+        own, name = held[source].iloc[0], held["swap"].iloc[0]
+        return learn_letters(held, name, model).assign(**{source: own, "swap": name})[[source, "swap", "sign", "letter", "sure"]]
 
-    letters: dict[str, dict[str, str]] = {}
-    for r in pairs.groupBy("swap").applyInPandas(cipher, "swap string, sign string, letter string, sure double").collect():
-        letters.setdefault(r["swap"], {})[r["sign"]] = r["letter"]
+    kind = records.schema[source].dataType.simpleString()
+    letters: dict[tuple, dict[str, str]] = {}
+    for r in pairs.groupBy(source, "swap").applyInPandas(cipher, f"`{source}` {kind}, swap string, sign string, letter string, sure double").collect():
+        letters.setdefault((r[source], r["swap"]), {})[r["sign"]] = r["letter"]
     tables = {s: {ord(a): b for a, b in t.items()} for s, t in letters.items()}
 
     @F.pandas_udf("double")
-    def anew(swap: pd.Series, signs: pd.Series) -> pd.Series:
+    def anew(sources: pd.Series, swap: pd.Series, signs: pd.Series) -> pd.Series:
         """The mean gain of each bigram under the learned letters."""
         model = Bigrams.shared(shared.value)
         out = []
-        for name, held in zip(swap, signs):
+        for own, name, held in zip(sources, swap, signs):
             if held is None or not len(held):
                 out.append(99.0)
                 continue
             plain = " ".join(held)
-            before, after = model.mean(f" {plain} ")[0], model.mean(f" {plain.translate(tables.get(name, {}))} ")[0]
+            before, after = model.mean(f" {plain} ")[0], model.mean(f" {plain.translate(tables.get((own, name), {}))} ")[0]
             out.append(after - before)
         return pd.Series(out)
 
-    held = judged.withColumn("anew", anew("swap", "signs")).where(F.col("lost") | (F.col("anew") > 1.0))
+    held = judged.withColumn("anew", anew(source, "swap", "signs")).where(F.col("lost") | (F.col("anew") > 1.0))
     return Learned(bigrams, held.select(*keys, "lost", "swap", "gain", "odds"), letters)
 
 
@@ -524,7 +525,8 @@ def repaired(records: DataFrame, keys: list[str], text_col: str = "text", source
         for batch in batches:
             rows = []
             for *key, text, names in batch.itertuples(index=False, name=None):
-                text = restore(text, set(names), letters, model)
+                own = key[keys.index(source)]
+                text = restore(text, set(names), {s: t for (o, s), t in letters.items() if o == own}, model)
                 rows.append((*key, text, bool(LOST.search(text) or any(x in text for x in LOST_RUNS))))
             yield pd.DataFrame(rows, columns=[*keys, "restored", "lost"])
 
