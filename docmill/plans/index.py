@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmill.operators import catalog, chunking, cleaning, embedding, quality, retrieval, structure
-from docmill.sources import files as source, sinks
+from docmill.sources import files as source, pdf, sinks
 
 
 @dataclass(frozen=True)
@@ -23,16 +23,20 @@ class KnowledgeBase:
 
 
 def documents(spark: SparkSession, kb: KnowledgeBase, paths: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
-    """The cleaned documents of the files that a scan keeps (or of `paths`); PDF documents come from a table of text blocks."""
+    """The cleaned documents of the files that a scan keeps (or of `paths`); PDF documents come from their text blocks, read here or given."""
     listed = source.binary_files(spark, kb.root)
     keep = catalog.suppress_duplicates(listed.drop("content").where(catalog.skip_reason("path", "size", kb.max_mb, kb.include_ext, kb.exclude_glob).isNull())).where(F.col("duplicate_of").isNull()).select("path")
     if paths is not None:
         keep = keep.join(paths.select("path"), "path", "left_semi")
     loaded = source.load_documents(listed.join(keep, "path", "left_semi").where(catalog.suffix_of("path") != ".pdf")).where(F.col("text").isNotNull())
-    if blocks is not None:
-        pdf = structure.paged_documents(blocks.join(keep.withColumnRenamed("path", "file"), "file", "left_semi"))
-        pdf = pdf.select(F.col("file").alias("file_path"), F.lit("pdf").alias("doc_type"), F.col("draft_no").cast("long").alias("doc_no"), "text", "page_number", "heading_path", "section_title", F.lit(0.0).alias("mtime"))
-        loaded = loaded.drop("error").unionByName(pdf, allowMissingColumns=True)
+    kept_pdf = keep.withColumnRenamed("path", "file")
+    if blocks is None:
+        listed_pdf = listed.where(catalog.suffix_of("path") == ".pdf").join(keep, "path", "left_semi")
+        blocks = pdf.blocks(listed_pdf).where(F.col("error").isNull()).drop("error")
+    paged = structure.paged_documents(blocks.join(kept_pdf, "file", "left_semi"))
+    modified = listed.select(F.col("path").alias("file"), "mtime")
+    paged = paged.join(modified, "file").select(F.col("file").alias("file_path"), F.lit("pdf").alias("doc_type"), F.col("draft_no").cast("long").alias("doc_no"), "text", "page_number", "heading_path", "section_title", "mtime")
+    loaded = loaded.drop("error").unionByName(paged, allowMissingColumns=True)
     return cleaning.enhance(loaded, kb.name)
 
 

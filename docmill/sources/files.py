@@ -222,7 +222,7 @@ def load_documents(files: DataFrame) -> DataFrame:
     """Documents of files (path, mtime, content), by suffix: Markdown and text one each, Word one, Excel one a sheet.
 
     A file that can't be read gives one row without text and with the error; unknown suffixes give a row with that error.
-    PDF needs a table of text blocks (see docmill.operators.structure). Null content is an error. Row by row, no shuffle.
+    PDF goes by text blocks (docmill.sources.pdf and docmill.operators.structure). Null content is an error. Row by row, no shuffle.
     """
 
     def one(path: str, data: bytes | None) -> list[tuple]:
@@ -254,6 +254,10 @@ def load_documents(files: DataFrame) -> DataFrame:
     return files.select("path", "mtime", "content").mapInPandas(run, DOCUMENT)
 
 
+class PreviewError(Exception):
+    """Why a readable file has nothing to show: empty_file, no_pages or blank_pages."""
+
+
 PREVIEW = "path string, file_type string, preview_text string, metadata map<string,string>, error_type string"
 
 
@@ -261,7 +265,7 @@ def previews(files: DataFrame, depth: str = "L1") -> DataFrame:
     """(path, file_type, preview_text, metadata, error_type): what a file shows at a depth; errors are a column, never an exception.
 
     files has path, size, content. Text is decoded as UTF-8 with replacement; counts are of the whole text. Images give
-    their format and size. PDF and unknown suffixes are unsupported here.
+    their format and size, PDF files the text of their first pages. Unknown suffixes are unsupported.
     """
     signs, row_limit, slide_limit = depth_limits(depth)
 
@@ -286,6 +290,18 @@ def previews(files: DataFrame, depth: str = "L1") -> DataFrame:
             slides = pptx_slides(data)
             text, short = cut("\n\n".join(slides[:slide_limit]))
             return text, {"slide_count": len(slides), "preview_slides": min(len(slides), slide_limit), "truncated": short}
+        if suffix == ".pdf":
+            from docmill.sources.pdf import page_texts
+
+            if not data:
+                raise PreviewError("empty_file")
+            count, pages = page_texts(data, slide_limit)
+            if not count:
+                raise PreviewError("no_pages")
+            text, short = cut("\n\n".join(pages))
+            if not text:
+                raise PreviewError("blank_pages")
+            return text, {"page_count": count, "preview_pages": len(pages), "preview_mode": "text", "truncated": short}
         if suffix in IMAGE_SUFFIXES:
             seen = image_size(data)
             if not seen:
@@ -301,6 +317,8 @@ def previews(files: DataFrame, depth: str = "L1") -> DataFrame:
                 try:
                     text, meta = one(suffix, bytes(data or b""))
                     rows.append((path, suffix.lstrip("."), text, {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in meta.items()}, None))
+                except PreviewError as error:
+                    rows.append((path, suffix.lstrip("."), None, None, str(error)))
                 except LookupError:
                     rows.append((path, None, None, None, "unsupported_file_type"))
                 except Exception:  # noqa: BLE001

@@ -30,12 +30,49 @@ def xlsx():
     return zipped(**{"xl/workbook.xml": '<workbook xmlns:r="urn:r"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>', "xl/worksheets/sheet1.xml": sheet, "xl/sharedStrings.xml": "<sst><si><t>head</t></si></sst>"})
 
 
+def pdf(*pages, compress=False):
+    """A small PDF; each page is a list of (size, x, y, text)."""
+    import zlib
+
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d /MediaBox [0 0 612 792] >>" % (b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(pages))), len(pages)), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    for i, page in enumerate(pages):
+        body = b"BT\n" + b"".join(b"/F1 %d Tf 1 0 0 1 %d %d Tm (%s) Tj\n" % (size, x, y, text.encode("cp1252").replace(b"(", b"\\(").replace(b")", b"\\)")) for size, x, y, text in page) + b"ET"
+        packed = zlib.compress(body) if compress else body
+        objects += [b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * i), b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(packed), b" /Filter /FlateDecode" if compress else b"", packed)]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(objects)) + b"trailer << /Root 1 0 R >>\n"
+
+
+PAGES = [[(20, 50, 700, "The Great Title"), (12, 50, 640, "1.1 Scope"), (10, 50, 600, "The body tells (of) cafés"), (10, 50, 588, "and goes on.")], [(12, 50, 700, "2.1 Terms"), (10, 50, 660, "More body.")]]
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_pdf_blocks(spark, compress):
+    from docmill.sources import pdf as p
+
+    df = spark.createDataFrame([("/a.pdf", bytearray(pdf(*PAGES, compress=compress))), ("/b.pdf", bytearray(b"%PDF-1.4 broken")), ("/c.pdf", None)], "path string, content binary")
+    rows = p.blocks(df).collect()
+    got = [(r.page_number, r.text, r.max_font_size, r.line_count) for r in rows if r.file == "/a.pdf"]
+    assert got == [(1, "The Great Title", 20.0, 1), (1, "1.1 Scope", 12.0, 1), (1, "The body tells (of) cafés\nand goes on.", 10.0, 2), (2, "2.1 Terms", 12.0, 1), (2, "More body.", 10.0, 1)]
+    assert {r.file: r.error for r in rows if r.error} == {"/b.pdf": "no text", "/c.pdf": "ValueError: not a PDF"}
+    seen = f.previews(df, "L1").collect()
+    assert seen[0].metadata["page_count"] == "2" and seen[0].preview_text.startswith("The Great Title") and seen[2].error_type == "empty_file"
+
+
+def test_pdf_maps():
+    from docmill.sources import pdf as p
+
+    table, width = p.unicode_map(b"2 beginbfchar <0001> <4E2D> <0002> <00660069> endbfchar 2 beginbfrange <0010> <0012> <0041> <0020> <0021> [<0061> <0062>] endbfrange")
+    assert width == 2 and table[b"\0\x01"] == "中" and table[b"\0\x02"] == "fi" and table[b"\0\x12"] == "C" and table[b"\0\x21"] == "b"
+    assert p.value(b"<< /A [1 2.5 (x\\051\\)) <414>] /B 3 0 R /C << /D /E#20F >> >>")[0] == {"A": [1, 2.5, b"x))", b"A@"], "B": 3, "C": {"D": "E F"}}
+    assert p._unpredict(bytes([2, 1, 2, 2, 1, 1]), 2) == bytes([1, 2, 2, 3])
+
+
 PNG = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 30, 20) + b"\x08\0\0\0\0"
 
 
 @pytest.fixture()
 def folder(tmp_path):
-    for name, data in {"a.md": b"# Head\n\n" + b"Some words on rivers. " * 30, "b.txt": "中文".encode("gbk"), "c.docx": docx(), "d.xlsx": xlsx(), "bad.docx": b"no zip", "sub/e.txt": b"plain", "x.png": PNG, "y.bin": b"?", "a.pdf": b"%PDF"}.items():
+    for name, data in {"a.md": b"# Head\n\n" + b"Some words on rivers. " * 30, "b.txt": "中文".encode("gbk"), "c.docx": docx(), "d.xlsx": xlsx(), "bad.docx": b"no zip", "sub/e.txt": b"plain", "x.png": PNG, "y.bin": b"?", "a.pdf": b"%PDF", "p.pdf": pdf(*PAGES, compress=True)}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     return str(tmp_path)
@@ -54,7 +91,7 @@ def test_parsers():
 
 
 def test_load_and_preview(spark, folder):
-    assert f.catalogue(spark, folder).count() == 9
+    assert f.catalogue(spark, folder).count() == 10
     docs = {r.file_path.rpartition("/")[2]: r for r in f.load_documents(f.binary_files(spark, folder)).collect()}
     assert docs["b.txt"].text == "中文" and docs["d.xlsx"].sheet_name == "S" and docs["bad.docx"].error and docs["y.bin"].text is None
     seen = {r.path.rpartition("/")[2]: r for r in f.previews(f.binary_files(spark, folder), "l1").collect()}
@@ -70,7 +107,7 @@ def test_index_round_trip(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("index"))
     kb = index.KnowledgeBase("kb", folder)
     counts = index.build(spark, kb, out)
-    assert counts["files"] == 6 and counts["parents"] >= 5 and counts["children"] >= counts["parents"]
+    assert counts["files"] == 7 and counts["parents"] >= 6 and counts["children"] >= counts["parents"]
     again = index.build(spark, kb, out)
     assert again == counts
     best = index.query(spark, out, ["words on rivers"], 1).first()
@@ -80,7 +117,7 @@ def test_index_round_trip(spark, folder, tmp_path_factory):
     with open(folder + "/new.txt", "w") as file:
         file.write("new words")
     more = index.build(spark, kb, out, incremental=True)
-    assert more["files"] == 7 and more["parents"] == counts["parents"] + 1
+    assert more["files"] == 8 and more["parents"] == counts["parents"] + 1
     full = index.build(spark, kb, str(tmp_path_factory.mktemp("full")))
     assert full == more
     with pytest.raises(ValueError):
