@@ -79,7 +79,7 @@ _inline: list[tuple[regex.Pattern, object, bool]] = [
     (_macro_pair, r"\2", False),
     (_macro, "", False),
 ]
-_formula = regex.compile(r"\$\$(?=\S)([^$\n]+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\\$A-Za-z0-9])\$(?=[^\s$\d]|\d+[^$\n]*[\\^_=])([^$\n]*?[^\s$\\])\$(?![A-Za-z0-9])")
+_formula = regex.compile(r"\$\$(?=\S)([^$\n]+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<!\\)\$((?:\\[A-Za-z]+|[A-Za-z])(?:[_^]\{[^{}$\n]*\}[^$\n]{0,80}?|\{[^{}$\n]*\}[^$\n]{0,80}?)?)(?<=[}A-Za-z\d])\$(?![A-Za-z]*\d*\$)(?<=\\[A-Za-z]+\$|\}\$)|(?<![\\$A-Za-z0-9])\$(?=[^\s$\d]|\d+[^$\n]*[\\^_=])([^$\n]*?[^\s$\\])\$(?![A-Za-z0-9])")
 _argument = r"\{((?:[^{}\n]|\{[^{}\n]*\})*)\}"
 _link_command = regex.compile(rf"\\(?:href|url|hyperref){_argument}{_argument}")
 _drop_command = regex.compile(rf"[~ ]?\\(?:label|cite[a-z]*|ref|eqref|pageref|index|vspace|hspace|usepackage|documentclass|input|include|bibliography|bibliographystyle|footnotemark)\*?(?:\[[^\[\]\n]*\])?{_argument}(?:{_argument})?")
