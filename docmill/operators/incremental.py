@@ -32,7 +32,8 @@ def listings(records: DataFrame) -> DataFrame:
         F.col("mtime").isNotNull() & F.col("path").isNotNull() & F.col("scan_id").isNotNull()
     )
     last = F.max(F.struct(F.coalesce("record_id", F.lit(-1)).alias("r"), "mtime", "size"))
-    return kept.groupBy("scan_id", "path").agg(last.alias("last")).select("scan_id", "path", "last.mtime", "last.size")
+    rows = kept.groupBy("scan_id", "path").agg(last.alias("last")).select("scan_id", "path", "last.mtime", "last.size")
+    return rows.where(F.col("mtime").isNotNull())  # as a join would ask, so that all uses share one shuffle
 
 
 def successful(scans: DataFrame) -> DataFrame:
@@ -51,12 +52,8 @@ def changed_paths(records: DataFrame, scans: DataFrame) -> DataFrame:
     the target rows of version n - 1. Both sides hash on (version, path): a root with a third of all rows is spread over its
     paths. Failed, aborted and unended scans publish no version and are compared with none. Empty tables give no rows.
     """
-    scans = successful(scans)
-    state = listings(records)
-    source = state.join(scans, "scan_id").select("scan_id", "prev_id", "path", "mtime", "size")
-    target = state.join(scans.select("scan_id"), "scan_id", "left_semi").select(
-        F.col("scan_id").alias("t_scan"), F.col("path").alias("t_path"), F.col("mtime").alias("t_mtime"), F.col("size").alias("t_size")
-    )
+    source = listings(records).join(successful(scans), "scan_id").select("scan_id", "prev_id", "path", "mtime", "size")
+    target = source.select(F.col("scan_id").alias("t_scan"), F.col("path").alias("t_path"), F.col("mtime").alias("t_mtime"), F.col("size").alias("t_size"))
     same = (
         (F.col("prev_id") == F.col("t_scan"))
         & (F.col("path") == F.col("t_path"))
