@@ -44,9 +44,9 @@ def fold(codes: np.ndarray) -> np.ndarray:
     return codes
 
 
-def bigram_buckets(codes: np.ndarray) -> np.ndarray:
-    """The bucket of each pair of neighbours."""
-    a, b = codes[:-1].astype(np.uint64), codes[1:].astype(np.uint64)
+def buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bucket of each pair of code points."""
+    a, b = a.astype(np.uint64), b.astype(np.uint64)
     h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -57,6 +57,11 @@ def bigram_buckets(codes: np.ndarray) -> np.ndarray:
 ALONE, APART = 0x1FFFFF, -3.0
 
 
+def bigram_buckets(codes: np.ndarray) -> np.ndarray:
+    """The bucket of each pair of neighbours."""
+    return buckets(codes[:-1], codes[1:])
+
+
 class Bigrams:
     """Logarithms of the shares of bigrams in the corpus, by bucket; unseen bigrams fall back on the shares of their signs."""
 
@@ -80,9 +85,7 @@ class Bigrams:
 
     def of(self, folded: np.ndarray) -> np.ndarray:
         """Of all neighbours in folded code points."""
-        alone = np.full(2 * len(folded), ALONE, folded.dtype)
-        alone[::2] = folded
-        own = self.logs[bigram_buckets(alone)[::2]]
+        own = self.logs[buckets(folded, np.full(len(folded), ALONE, np.uint32))]
         return np.maximum(self.logs[bigram_buckets(folded)], own[:-1] + own[1:] + APART)
 
     def one(self, pair: str) -> float | None:
@@ -144,12 +147,9 @@ def count_bigrams(texts: DataFrame, text_col: str) -> Bigrams:
                 folded = fold(codes)
                 signs = np.bincount(folded)
                 own = np.nonzero(signs)[0]
-                alone = np.full(2 * len(own), ALONE, np.uint32)
-                alone[::2] = own
-                np.add.at(counts, bigram_buckets(alone)[::2], signs[own])
+                np.add.at(counts, buckets(own, np.full(len(own), ALONE, np.uint32)), signs[own])
                 if len(at):
-                    pairs = np.stack([folded[at], folded[at + 1]], 1).ravel()
-                    counts += np.bincount(bigram_buckets(pairs)[::2], minlength=BUCKETS)
+                    counts += np.bincount(buckets(folded[at], folded[at + 1]), minlength=BUCKETS)
         at = np.nonzero(counts)[0]
         yield pd.DataFrame({"bucket": np.append(at, -1).astype("int32"), "n": np.append(counts[at], total)})
 
@@ -200,6 +200,7 @@ _boxes = re.compile("[\u2500-\u25a0\u0400-\u045f\u0370-\u03ff\xa0-\xff\u2219-\u2
 _box = re.compile("[\u2550-\u256c\u2580-\u2593]")
 _han = re.compile("[\u2000-\u206f\u2e80-\ud7ff\uff00-\uffef\ue000-\uf8ff\u0370-\u04ff\u2190-\u27ff]*[\u3100-\u9fff\ue000-\uf8ff][\u2000-\u206f\u2e80-\ud7ff\uff00-\uffef\ue000-\uf8ff\u0370-\u04ff\u2190-\u27ff]*")
 _runs = re.compile("[^\x00-\x7f]{2,}")
+_boxed, _one_cyrillic = re.compile("[\u2500-\u25a0]"), re.compile("[\u0400-\u045f]")
 _far_east = re.compile("[\u3100-\u9fff]")
 
 
@@ -221,7 +222,7 @@ def readings(text: str, bigrams: Bigrams) -> list[Reading]:
     if not runs:
         return out if not _far_east.search(text) else _lone_han(text, out)
     means = Means(text, bigrams)
-    boxed = any("\u2500" <= c <= "\u25a0" for c in signs)  # what half the bytes are in these two code pages
+    boxed = _boxed.search(text) is not None  # what half the bytes are in these two code pages
     for name in SEEN_AS:
         leads, tails, shape = shapes(name)
         if leads.isdisjoint(signs) or tails.isdisjoint(signs) or name in ("koi8_r", "cp866") and not boxed:
@@ -238,7 +239,7 @@ def readings(text: str, bigrams: Bigrams) -> list[Reading]:
         _lone_han(text, out)
     for m in _foreign.finditer(text):
         _single(text, m.start(), m.end(), ("cp1252", "mac_roman"), means, out)
-    if any("\u0400" <= c <= "\u045f" for c in signs) and not _mixed.search(text):
+    if _one_cyrillic.search(text) and not _mixed.search(text):
         for m in _cyrillic.finditer(text):
             if m.end() - m.start() > 2:
                 _single(text, m.start(), m.end(), CYRILLIC, means, out)
@@ -364,8 +365,8 @@ def learn_letters(pairs: pd.DataFrame, swap: str, bigrams: Bigrams) -> pd.DataFr
     states = letters + known
     number = {s: i for i, s in enumerate(states)}
     codes = fold(np.array([ord(s) for s in states], np.uint32))
-    grid = np.stack(np.meshgrid(codes, codes, indexing="ij"), -1).reshape(-1, 2)
-    joint = np.exp(np.maximum(bigrams.logs[bigram_buckets(grid.ravel())[::2]], -25)).reshape(len(states), len(states))
+    first, second = np.meshgrid(codes, codes, indexing="ij")
+    joint = np.exp(np.maximum(bigrams.logs[buckets(first, second)], -25))
     start = np.full((len(signs), len(letters)), 0.2 / len(letters))
     for i, s in enumerate(signs):
         start[i, number[table[s]]] += 0.8
