@@ -107,7 +107,11 @@ def normal(text: str) -> str:
 
 
 class Rewriter:
-    """Rewrites texts to the representatives. counts: how often each code point occurs in the corpus."""
+    """Rewrites texts to the representatives. counts: how often each code point occurs in the corpus.
+
+    Members of several code points are found by an Aho-Corasick automaton, leftmost and longest first; those of one go through
+    translate(), which does for them what the automaton would, at the speed of a table.
+    """
 
     def __init__(self, counts: dict[str, int]):
         groups, self.scripts = look_alikes()
