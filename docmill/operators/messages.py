@@ -1,7 +1,8 @@
 """Conversations and run events in batch: turns, tool traces, deltas, interrupts, the state of a thread.
 
 Tables of events have thread_id, seq (order in the thread), type, ts (epoch milliseconds) and further columns; those of
-messages thread_id, idx, role and content. One thread is ordered in one task; nothing else is.
+messages thread_id, idx, role and content. Running sums and neighbours go by slices of a thread, so a thread with a third of all rows is
+spread over tasks; only what joins the texts of a thread holds them together.
 """
 
 from __future__ import annotations
@@ -19,13 +20,54 @@ def in_order(key: str = "thread_id", order: str = "seq"):
     return Window.partitionBy(key).orderBy(order)
 
 
+#: Values of the order column that one task handles of a key: a key with many rows is spread over its slices.
+SLICE = 1 << 17
+
+
+def _sliced(df: DataFrame, order: str) -> DataFrame:
+    return df.withColumn("_slice", F.floor(F.col(order) / SLICE))
+
+
+def _join_slices(rows: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with a column of their slice; null keys are keys too."""
+    on = F.lit(True)
+    for k in [*keys, "_slice"]:
+        slices = slices.withColumnRenamed(k, f"_r{k}")
+        on = on & F.col(k).eqNullSafe(F.col(f"_r{k}"))
+    return rows.join(slices, on).drop(*[f"_r{k}" for k in [*keys, "_slice"]])
+
+
+def running(df: DataFrame, flag: Column, name: str, keys: list[str], order: str) -> DataFrame:
+    """df with `name`: the sum of an integer flag over the rows of the same keys up to each row, by an integer order.
+
+    Rows are summed within slices of the order, slices among themselves (one row a slice), so no task has to hold all rows of
+    a key.
+    """
+    rows = _sliced(df.withColumn("_flag", flag.cast("long")), order)
+    within = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_slice").agg(F.sum("_flag").alias("_sum"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    rows = rows.withColumn("_within", F.sum("_flag").over(within))
+    return _join_slices(rows, sums, keys).withColumn(name, F.col("_within") + F.col("_before")).drop("_flag", "_slice", "_within", "_before")
+
+
+def previous(df: DataFrame, values: dict[str, Column], keys: list[str], order: str) -> DataFrame:
+    """df with the values of the row before among the same keys, by an integer order, under the names of `values`; null at the first. Sliced as in running."""
+    rows = _sliced(df.withColumn("_now", F.struct(*[v.alias(n) for n, v in values.items()])), order)
+    last = rows.groupBy(*keys, "_slice").agg(F.max_by("_now", order).alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))).drop("_last")
+    rows = rows.withColumn("_within", F.lag("_now").over(Window.partitionBy(*keys, "_slice").orderBy(order)))
+    rows = _join_slices(rows, last, keys).withColumn("_prev", F.coalesce("_within", "_before"))
+    return rows.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values])
+
+
 def turns(messages: DataFrame) -> DataFrame:
     """messages with turn (number of user messages so far) and current (whether no user message follows)."""
-    w = in_order("thread_id", "idx")
-    user = (F.col("role") == "user").cast("int")
-    rows = messages.withColumn("turn", F.sum(user).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max(F.when(F.col("role") == "user", F.col("idx"))).over(Window.partitionBy("thread_id"))
-    return rows.withColumn("current", F.coalesce(F.col("idx") >= last, F.lit(True)))
+    rows = running(messages, F.col("role") == "user", "turn", ["thread_id"], "idx")
+    last = messages.where(F.col("role") == "user").groupBy(F.col("thread_id").alias("_t")).agg(F.max("idx").alias("_user"))
+    rows = rows.join(last, F.col("thread_id").eqNullSafe(F.col("_t")), "left")
+    return rows.withColumn("current", F.coalesce(F.col("idx") >= F.col("_user"), F.lit(True))).drop("_t", "_user")
 
 
 def tool_calls_in_turn(messages: DataFrame, limit: int = 10) -> DataFrame:
@@ -41,8 +83,7 @@ def strip_reasoning(messages: DataFrame) -> DataFrame:
 
 def rounds(messages: DataFrame) -> DataFrame:
     """messages with round_index: how many messages with tool calls there are so far."""
-    w = in_order("thread_id", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    return messages.withColumn("round_index", F.sum(F.coalesce(F.col("has_calls"), F.lit(False)).cast("int")).over(w))
+    return running(messages, F.coalesce(F.col("has_calls"), F.lit(False)), "round_index", ["thread_id"], "idx")
 
 
 def tool_traces(calls: DataFrame, results: DataFrame, missing: str = "no result") -> DataFrame:
@@ -62,11 +103,9 @@ def tool_latency(events: DataFrame) -> DataFrame:
 
 def collapse_deltas(events: DataFrame) -> DataFrame:
     """(thread_id, first_seq, type, n, chars, start_ts, end_ts): neighbouring deltas of one type as one row; other events stay alone."""
-    w = in_order()
     delta = F.col("type").endswith("_delta")
-    fresh = (~(delta & F.coalesce(F.lag("type").over(w) == F.col("type"), F.lit(False)))).cast("int")
-    rows = events.withColumn("_fresh", fresh)
-    rows = rows.withColumn("_island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = previous(events, {"_type": F.col("type")}, ["thread_id"], "seq")
+    rows = running(rows, ~(delta & F.coalesce(F.col("_type") == F.col("type"), F.lit(False))), "_island", ["thread_id"], "seq")
     text = F.coalesce(F.length("text"), F.lit(0)) if "text" in events.columns else F.lit(0)
     return rows.groupBy("thread_id", "_island").agg(F.min("seq").alias("first_seq"), F.min("type").alias("type"), F.count("*").alias("n"), F.sum(text).alias("chars"), F.min_by("ts", "seq").alias("start_ts"), F.max_by("ts", "seq").alias("end_ts")).drop("_island")
 
@@ -103,9 +142,9 @@ def pending_last_send(messages: DataFrame) -> DataFrame:
 
 def hidden_debug(messages: DataFrame) -> DataFrame:
     """messages with hidden: whether a resolved interrupt came before in the same turn."""
-    rows = turns(messages)
-    before = Window.partitionBy("thread_id", "turn").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("hidden", F.coalesce(F.max(F.coalesce(F.col("resolved"), F.lit(False))).over(before), F.lit(False)))
+    flag = F.coalesce(F.col("resolved"), F.lit(False))
+    rows = running(turns(messages), flag, "_seen", ["thread_id", "turn"], "idx")
+    return rows.withColumn("hidden", F.col("_seen") - flag.cast("int") > 0).drop("_seen")
 
 
 def last_reply(messages: DataFrame, default: str = "") -> DataFrame:
@@ -131,10 +170,8 @@ def assembled_calls(parts: DataFrame) -> DataFrame:
 
 def message_bounds(chunks: DataFrame) -> DataFrame:
     """(thread_id, message_no, message_id, n, closed): runs of chunks of one message; a last chunk closes its message, another id begins a new one."""
-    w = in_order()
-    fresh = (~F.coalesce((F.lag("message_id").over(w) == F.col("message_id")) & ~F.lag(F.coalesce("last", F.lit(False))).over(w), F.lit(False))).cast("int")
-    rows = chunks.withColumn("_fresh", fresh)
-    rows = rows.withColumn("message_no", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = previous(chunks, {"_id": F.col("message_id"), "_last": F.coalesce("last", F.lit(False))}, ["thread_id"], "seq")
+    rows = running(rows, ~F.coalesce((F.col("_id") == F.col("message_id")) & ~F.col("_last"), F.lit(False)), "message_no", ["thread_id"], "seq")
     return rows.groupBy("thread_id", "message_no").agg(F.min("message_id").alias("message_id"), F.count("*").alias("n"), F.bool_or(F.coalesce("last", F.lit(False))).alias("closed"))
 
 
@@ -232,7 +269,8 @@ def with_tool_results(messages: DataFrame, results: DataFrame) -> DataFrame:
 def pending_interrupts(events: DataFrame) -> DataFrame:
     """(thread_id, finished_seq, message_seq, token): interrupts that a finished run attaches to the last assistant message before it; null message where there is none.
 
-    An interrupt waits for the next run_finished of its thread; of several the last counts.
+    An interrupt waits for the next run_finished of its thread; of several the last counts. The events of a thread are put in
+    order in one task here.
     """
     w = in_order()
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,21 @@ from pyspark.sql import functions as F
 from docmill.operators import messages as m, registry as r
 
 
+def test_slices_equal_one_window(spark, monkeypatch):
+    import random
+
+    from pyspark.sql.window import Window
+
+    monkeypatch.setattr(m, "SLICE", 7)
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 2, None]), i, rng.random() < 0.3, rng.choice("ab")) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, o long, f boolean, v string")
+    w = Window.partitionBy("k").orderBy("o")
+    got = m.previous(m.running(df, F.col("f"), "n", ["k"], "o"), {"p": F.col("v")}, ["k"], "o")
+    want = df.withColumn("n", F.sum(F.col("f").cast("long")).over(w)).withColumn("p", F.lag("v").over(w))
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=lambda r: r[1]) == sorted(map(tuple, want.collect()), key=lambda r: r[1])
+
+
 def test_turns_and_limits(spark):
     rows = [(1, 1, "user"), (1, 2, "tool"), (1, 3, "user"), (1, 4, "tool"), (1, 5, "tool"), (2, 1, "tool")]
     df = spark.createDataFrame(rows, "thread_id int, idx int, role string")
