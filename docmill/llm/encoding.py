@@ -53,6 +53,11 @@ def buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(45)).astype(np.int64)
 
 
+#: The swaps of two Cyrillic pages (written, seen); the signs whose pairs are tabulated for them, and the place of each code point among these.
+CIPHERS = [(a, b) for b in CYRILLIC for a in CYRILLIC if a != b]
+KNOWN = np.concatenate([np.arange(128), np.arange(0x400, 0x460)]).astype(np.uint32)
+PLACE = np.full(0x461, len(KNOWN))
+PLACE[KNOWN] = np.arange(len(KNOWN))
 #: Stands beside a sign for its own share in the table; how far a bigram falls short of chance if its signs never meet.
 ALONE, APART = 0x1FFFFF, -3.0
 
@@ -66,10 +71,12 @@ class Bigrams:
     """Logarithms of the shares of bigrams in the corpus, by bucket; unseen bigrams fall back on the shares of their signs."""
 
     def __init__(self, counts: np.ndarray, total: int):
+        self.counts, self.total = counts, total
         self.logs = np.log(np.maximum(counts, 0.2) / max(total, 1)).astype(np.float32)
         self.usual = max(USUAL, float(np.log(5 / max(total, 1))))  # five times are usual in the smallest corpus only
-
-        self.memo: dict[str, float | None] = {}
+        self.memo: dict[str, float | bool | None] = {}
+        self.steps: np.ndarray | None = None
+        self.least: float | None = None
 
     def share(self, df: DataFrame):
         """A broadcast of the table: BUCKETS numbers."""
@@ -80,9 +87,47 @@ class Bigrams:
         """The table on a worker."""
         own = cls.__new__(cls)
         own.logs, own.usual = held
-        own.memo = {}
+        own.memo, own.steps, own.least = {}, None, None
         return own
 
+    def without(self, counts: np.ndarray) -> Bigrams:
+        """The table less other counts."""
+        return Bigrams(np.maximum(self.counts - counts, 0), self.total)
+
+    def likelier(self, codes: np.ndarray) -> list[tuple[str, str]]:
+        """The ciphers (written, seen) that make code points with Cyrillic letters likelier; signs that are neither ASCII nor Cyrillic leave some room."""
+        if self.steps is None:
+            codes_of = fold(KNOWN)
+            own = self.logs[buckets(codes_of, np.full(len(KNOWN), ALONE, np.uint32))]
+            side = len(KNOWN) + 1
+            self.steps = np.zeros((side, side, len(CIPHERS)), np.float32)
+
+            def pairs(signs: np.ndarray, alone: np.ndarray) -> np.ndarray:
+                first, second = np.meshgrid(signs, signs, indexing="ij")
+                return np.maximum(self.logs[buckets(first, second)], alone[:, None] + alone[None, :] + APART)
+
+            before = pairs(codes_of, own)
+            far = (KNOWN > 127)[:, None] | (KNOWN > 127)[None, :]
+            for i, (written, seen) in enumerate(CIPHERS):
+                table = to_bytes(seen)
+                said = fold(np.array([c if c < 128 else ord(page(written)[table[c]]) if c in table else 0xFFFD for c in KNOWN.tolist()], np.uint32))
+                after = pairs(said, self.logs[buckets(said, np.full(len(said), ALONE, np.uint32))])
+                self.steps[:-1, :-1, i] = np.where(far, after - before, 0)
+                lost = np.append(said == 0xFFFD, False)
+                self.steps[lost, :, i] = self.steps[:, lost, i] = -50
+        at = PLACE[np.minimum(codes, len(PLACE) - 1)]
+        room = 4.0 if (at == len(KNOWN)).any() else 0.01
+        return [CIPHERS[i] for i in np.nonzero(self.steps[at[:-1], at[1:]].sum(0) > -room)[0]]
+
+    def met(self, sign: str) -> bool:
+        """Whether the corpus holds a sign."""
+        value = self.memo.get(sign)
+        if value is None:
+            if self.least is None:
+                self.least = float(self.logs.min()) + 0.1
+            value = self.memo[sign] = float(self.logs[buckets(np.array([ord(sign)]), np.array([ALONE]))][0]) > self.least
+        return value
+
     def of(self, folded: np.ndarray) -> np.ndarray:
         """Of all neighbours in folded code points."""
         own = self.logs[buckets(folded, np.full(len(folded), ALONE, np.uint32))]
@@ -123,7 +168,7 @@ class Means:
     def of(self, start: int, end: int) -> float:
         """Of the piece and the signs beside it."""
         if self.sums is None:
-            codes = np.frombuffer(f"\n{self.text}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
+            self.codes = codes = np.frombuffer(f"\n{self.text}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
             far = (codes[:-1] > 127) | (codes[1:] > 127)
             values = np.where(far, self.bigrams.of(fold(codes)), 0)
             self.sums = np.concatenate([[0], np.cumsum(values, dtype=np.float64)]), np.concatenate([[0], np.cumsum(far)])
@@ -132,8 +177,34 @@ class Means:
         return (sums[end + 1] - sums[start]) / n if n else -8.0
 
 
+def tally(codes: np.ndarray, hidden: np.ndarray | None = None) -> np.ndarray:
+    """Counts per bucket of the pairs and signs beyond ASCII among code points, without those that `hidden` marks."""
+    folded, near = fold(codes), codes > 127
+    pairs = near[:-1] | near[1:]
+    if hidden is not None:
+        pairs &= ~(hidden[:-1] | hidden[1:])
+    at = np.nonzero(pairs)[0]
+    signs = np.bincount(folded if hidden is None else folded[~hidden])
+    own = np.nonzero(signs)[0]
+    counts = np.bincount(buckets(folded[at], folded[at + 1]), minlength=BUCKETS)
+    np.add.at(counts, buckets(own, np.full(len(own), ALONE, np.uint32)), signs[own])
+    return counts
+
+
+def counted(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The sum of partial counts (bucket, n); bucket -1 holds the number of signs. BUCKETS rows at most reach the driver."""
+    held = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(BUCKETS, np.float64)
+    inner = held[held.bucket >= 0]
+    counts[inner.bucket.to_numpy()] = inner.n.to_numpy()
+    return counts, int(held.n[held.bucket < 0].sum())
+
+
 def count_bigrams(texts: DataFrame, text_col: str) -> Bigrams:
-    """The bigrams of all texts. Each task sends its counts per bucket once; BUCKETS rows at most reach the driver."""
+    """The bigrams of all different texts. Each task sends its counts per bucket once.
+
+    Copies count once and letters that UTF-8 explains not at all, so that damage does not become usual by being frequent.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, total = np.zeros(BUCKETS, np.int64), 0
@@ -142,23 +213,27 @@ def count_bigrams(texts: DataFrame, text_col: str) -> Bigrams:
             codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             if len(codes) > 1:
                 total += len(codes)
-                near = codes > 127
-                at = np.nonzero(near[:-1] | near[1:])[0]
-                folded = fold(codes)
-                signs = np.bincount(folded)
-                own = np.nonzero(signs)[0]
-                np.add.at(counts, buckets(own, np.full(len(own), ALONE, np.uint32)), signs[own])
-                if len(at):
-                    counts += np.bincount(buckets(folded[at], folded[at + 1]), minlength=BUCKETS)
+                counts += tally(codes, explained(codes))
         at = np.nonzero(counts)[0]
         yield pd.DataFrame({"bucket": np.append(at, -1).astype("int32"), "n": np.append(counts[at], total)})
 
-    rows = texts.select(F.col(text_col).alias("text")).mapInPandas(count, "bucket int, n long")
-    held = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS, np.float64)
-    inner = held[held.bucket >= 0]
-    counts[inner.bucket.to_numpy()] = inner.n.to_numpy()
-    return Bigrams(counts, int(held.n[held.bucket < 0].sum()))
+    different = texts.select(F.col(text_col).alias("text")).where(F.length("text") > 0).distinct()
+    return Bigrams(*counted(different.mapInPandas(count, "bucket int, n long")))
+
+
+def count_pieces(pieces: DataFrame) -> np.ndarray:
+    """The bigrams of suspicious pieces (swap, signs), equal rows once."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            joined = "".join(f" {piece} " for signs in batch["signs"] for piece in signs)
+            if joined:
+                counts += tally(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
+        at = np.nonzero(counts)[0]
+        yield pd.DataFrame({"bucket": at.astype("int32"), "n": counts[at]})
+
+    return counted(pieces.select("swap", "signs").distinct().mapInPandas(count, "bucket int, n long"))[0]
 
 
 @lru_cache(maxsize=64)
@@ -190,6 +265,45 @@ def shapes(name: str) -> tuple[frozenset[str], frozenset[str], re.Pattern]:
     return frozenset(some(0xC2, 0xF4)), frozenset(some(0x80, 0xBF)), re.compile(pattern)
 
 
+@lru_cache(maxsize=64)
+def roles(name: str) -> np.ndarray:
+    """What each code point can be in UTF-8 read in this code page: 1 a continuation, 2 to 4 the lead of so many bytes, else 0."""
+    out = np.zeros(0x2600, np.uint8)
+    for c, b in to_bytes(name).items():
+        if c < len(out):
+            out[c] = 1 if b < 0xC0 else 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
+    return out
+
+
+def explained(codes: np.ndarray) -> np.ndarray:
+    """Which signs are two or more letters of UTF-8 in a row, read in some code page: no text in order has these."""
+    far = codes > 127
+    kept = np.nonzero(far | np.append(False, far[:-1]))[0]
+    signs = np.minimum(codes[kept], 0x25FF)
+    n, out = len(signs), np.zeros(len(codes), bool)
+    for name in SEEN_AS:
+        role = roles(name)[signs]
+        tail, length = role == 1, np.zeros(n + 1, np.int64)
+        for size in (2, 3, 4):
+            if n < size:
+                continue
+            fits = role[: n - size + 1] == size
+            boxed = np.zeros(len(fits), bool)
+            for k in range(size):
+                fits = fits & tail[k : k + len(fits)] if k else fits
+                boxed |= signs[k : k + len(fits)] >= 0x2500
+            length[: len(fits)][fits & boxed if name in ("koi8_r", "cp866") else fits] = size
+        first = np.nonzero(length)[0]
+        first = first[length[first + length[first]] > 0]
+        if len(first):
+            second = first + length[first]
+            edges = np.zeros(n + 1, np.int64)
+            np.add.at(edges, first, 1)
+            np.add.at(edges, second + length[second], -1)
+            out[kept[np.cumsum(edges)[:n] > 0]] = True
+    return out
+
+
 _written = re.compile("^[\x20-\x7e\xa0-\u052f\u1e00-\u27bf\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff\ufe0f\uff00-\uffef\U0001f000-\U0002ffff\n\r\t\ufeff]*$")
 #: Cyrillic letters that look like Latin ones; words mixed of both are spelled oddly, not decoded wrongly.
 _twins = frozenset("АВЕКМНОРСТУХІЈЅаеосрухіјѕ")
@@ -260,22 +374,27 @@ def _lone_han(text: str, out: list[Reading]) -> list[Reading]:
 
 
 def _single(text: str, start: int, end: int, seen: tuple[str, ...], means: Means, out: list[Reading]) -> None:
-    """Readings of a piece with one or two bytes a letter, unless its bigrams are usual ones."""
+    """Readings of a piece with one or two bytes a letter. A piece of usual bigrams is read only where that is likelier still."""
     piece = text[start:end]
-    if means.of(start, end) > means.bigrams.usual:
-        return
+    usual = means.of(start, end) > means.bigrams.usual
+    known = means.bigrams.likelier(means.codes[start : end + 2]) if usual and seen is CYRILLIC else None
+
+    def add(r: Reading) -> None:
+        if not usual or gain(text, r, means.bigrams) > 0:
+            out.append(r)
+
     for name in seen:
         try:
             held = piece.translate(to_bytes(name)).encode("latin-1")
         except UnicodeError:
             continue
         for written in CYRILLIC:  # a Latin text has no three accented letters in a row
-            if written == name:
+            if written == name or known is not None and (written, name) not in known:
                 continue
             said = held.decode(written, "replace")
             small = sum(map(str.islower, said))
             if small >= 0.5 * len(said.replace(" ", "")) and said != piece and ("\xa0" not in said or "\xa0" in piece):
-                out.append(Reading(start, end, f"{written}>{name}", said))
+                add(Reading(start, end, f"{written}>{name}", said))
         if name in ("cp1252", "mac_roman", "cp1251", "koi8_r", "cp437"):
             for written in DOUBLE:
                 for skip in (0, 1):  # the piece may begin with a sign of its own
@@ -284,8 +403,10 @@ def _single(text: str, start: int, end: int, seen: tuple[str, ...], means: Means
                         said = held[skip:whole].decode(written)
                     except UnicodeError:
                         continue
+                    if usual and sum(map(means.bigrams.met, said)) < 0.5 * len(said):
+                        continue  # signs that the corpus never has are not likelier than usual bigrams
                     if said and sum("\u3000" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" or "\uff00" <= c <= "\uffef" for c in said) >= 0.8 * len(said):
-                        out.append(Reading(start + skip, start + whole, f"{written}>{name}", said))
+                        add(Reading(start + skip, start + whole, f"{written}>{name}", said))
                         break
 
 
@@ -438,6 +559,7 @@ def learn(records: DataFrame, keys: list[str], text_col: str, source: str) -> Le
     odds = learn_swaps(rows, source)
     judged = rows.join(odds, [source, "swap"], "left").withColumn("odds", F.col("gain") + F.coalesce(F.col("odds"), F.lit(0.0)))
     judged = judged.where(F.col("lost") | (F.col("odds") > BELIEVED))
+    bigrams = bigrams.without(count_pieces(judged.where(F.size("signs") > 0)))  # what was believed is no part of the corpus
     piece = F.explode("signs")
     pieces = judged.where(F.size("signs") > 0).select(source, "swap", piece.alias("piece"))
     padded = F.concat(F.lit(" "), F.col("piece"), F.lit(" "))

@@ -58,3 +58,21 @@ def test_shapes_decode(name):
     _, _, shape = e.shapes(name)
     seen = "".join(e.page(name)[b] for b in "é“中".encode())
     assert shape.fullmatch(seen) and seen.translate(e.to_bytes(name)).encode("latin-1").decode() == "é“中"
+
+
+def distinct_texts(n):
+    """Russian texts, no two alike."""
+    rng = np.random.default_rng(5)
+    words = [w for x in RUSSIAN for w in x.rstrip(".").lower().split()]
+    return [" ".join(rng.choice(words, 14)).capitalize() + "." for _ in range(n)]
+
+
+@pytest.mark.parametrize("seen", ["1251", "utf8"])
+@pytest.mark.parametrize("source", ["copies", "many"])
+def test_frequent_damage_is_found(spark, source, seen):
+    """One garbled text copied to a third of all rows; damage of two fifths of the Russian volume, no text twice."""
+    garble = lambda x: x.encode("koi8_r").decode("cp1251") if seen == "1251" else x.encode().decode("latin-1")
+    fine, bad = distinct_texts(100), distinct_texts(170)[100:140] if source == "many" else [RUSSIAN[0]] * 70
+    rows = [("t", f"ok{i}", x) for i, x in enumerate(fine + LATIN * 8)] + [("t", f"bad{i}", garble(x)) for i, x in enumerate(bad)]
+    df = spark.createDataFrame(rows, "tbl string, rec_id string, text string")
+    assert {r.rec_id for r in e.garbled(df, ["tbl", "rec_id"]).collect()} == {f"bad{i}" for i in range(len(bad))}
