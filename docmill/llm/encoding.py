@@ -427,10 +427,11 @@ def is_cipher(swap: str) -> bool:
 
 
 def suspects(records: DataFrame, keys: list[str], text_col: str, bigrams: Bigrams) -> DataFrame:
-    """(keys..., lost, swap, gain, pieces, signs): for each record the swaps by which pieces of it can be read.
+    """(keys..., lost, swap, gain, pieces, gains, signs): for each record the swaps by which pieces of it can be read.
 
-    gain sums over the pieces of the record that this swap explains better than any other; signs are those pieces, for swaps
-    that stand one sign for one letter. A row with null swap marks signs that no text in order has.
+    gain is that of the pieces of the record that this swap explains better than any other: of all together or of the best
+    one, so that what is in order beside a garbled line doesn't speak for it. signs and gains are those of positive gain, for
+    swaps that stand one sign for one letter. A row with null swap marks signs that no text in order has.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keys).schema)
     shared = bigrams.share(records)
@@ -444,7 +445,7 @@ def suspects(records: DataFrame, keys: list[str], text_col: str, bigrams: Bigram
                 if text.isascii():
                     continue
                 if LOST.search(text) or any(x in text for x in LOST_RUNS):
-                    rows.append((*key, True, None, None, 0, None))
+                    rows.append((*key, True, None, None, 0, None, None))
                 pieces: dict[int, tuple[float, Reading]] = {}
                 for r in readings(text, model):
                     context = text[max(0, r.start - 1) : r.end + 1], r.swap
@@ -458,16 +459,18 @@ def suspects(records: DataFrame, keys: list[str], text_col: str, bigrams: Bigram
                         pieces[r.start] = value, r
                 swaps: dict[str, list] = {}
                 for value, r in pieces.values():
-                    held = swaps.setdefault(r.swap, [0.0, 0, []])
+                    held = swaps.setdefault(r.swap, [0.0, -np.inf, 0, [], []])
                     held[0] += value
-                    held[1] += 1
-                    if is_cipher(r.swap):
-                        held[2].append(text[r.start : r.end])
-                rows += [(*key, False, swap, total, n, signs) for swap, (total, n, signs) in swaps.items() if total > -20]
-            yield pd.DataFrame(rows, columns=[*keys, "lost", "swap", "gain", "pieces", "signs"])
+                    held[1] = max(held[1], value)
+                    held[2] += 1
+                    if is_cipher(r.swap) and value > 0:
+                        held[3].append(value)
+                        held[4].append(text[r.start : r.end])
+                rows += [(*key, False, swap, max(total, best), n, gains, signs) for swap, (total, best, n, gains, signs) in swaps.items() if max(total, best) > -20]
+            yield pd.DataFrame(rows, columns=[*keys, "lost", "swap", "gain", "pieces", "gains", "signs"])
 
     source = records.select(*keys, F.col(text_col).alias("text")).where(F.length("text") > 0)
-    return source.mapInPandas(run, schema + ", lost boolean, swap string, gain double, pieces int, signs array<string>")
+    return source.mapInPandas(run, schema + ", lost boolean, swap string, gain double, pieces int, gains array<double>, signs array<string>")
 
 
 def learn_letters(pairs: pd.DataFrame, swap: str, bigrams: Bigrams) -> pd.DataFrame:
@@ -557,7 +560,7 @@ def learn(records: DataFrame, keys: list[str], text_col: str, source: str) -> Le
     bigrams = count_bigrams(records, text_col)
     rows = cut_lineage(suspects(records, keys, text_col, bigrams))  # read three times below
     odds = learn_swaps(rows, source)
-    judged = rows.join(odds, [source, "swap"], "left").withColumn("odds", F.col("gain") + F.coalesce(F.col("odds"), F.lit(0.0)))
+    judged = rows.join(odds, [source, "swap"], "left").withColumn("log_odds", F.coalesce(F.col("odds"), F.lit(0.0))).withColumn("odds", F.col("gain") + F.col("log_odds"))
     judged = judged.where(F.col("lost") | (F.col("odds") > BELIEVED))
     bigrams = bigrams.without(count_pieces(judged.where(F.size("signs") > 0)))  # what was believed is no part of the corpus
     piece = F.explode("signs")
@@ -580,20 +583,22 @@ def learn(records: DataFrame, keys: list[str], text_col: str, source: str) -> Le
     tables = {s: {ord(a): b for a, b in t.items()} for s, t in letters.items()}
 
     @F.pandas_udf("double")
-    def anew(sources: pd.Series, swap: pd.Series, signs: pd.Series) -> pd.Series:
-        """The mean gain of each bigram under the learned letters."""
+    def anew(sources: pd.Series, swap: pd.Series, signs: pd.Series, gains: pd.Series, odds: pd.Series) -> pd.Series:
+        """The mean gain of each bigram under the learned letters: of all pieces, or of the best that is believed by itself."""
         model = Bigrams.shared(shared.value)
         out = []
-        for own, name, held in zip(sources, swap, signs):
-            if held is None or not len(held):
+        for own, name, held, each, log_odds in zip(sources, swap, signs, gains, odds):
+            if name is None or not is_cipher(name):
                 out.append(99.0)
                 continue
-            plain = " ".join(held)
-            before, after = model.mean(f" {plain} ")[0], model.mean(f" {plain.translate(tables.get((own, name), {}))} ")[0]
-            out.append(after - before)
+            best = -99.0
+            for plain in [" ".join(held), *(p for p, g in zip(held, each) if g + log_odds > BELIEVED)] if len(held) else []:
+                before, after = model.mean(f" {plain} ")[0], model.mean(f" {plain.translate(tables.get((own, name), {}))} ")[0]
+                best = max(best, after - before)
+            out.append(best)
         return pd.Series(out)
 
-    held = judged.withColumn("anew", anew(source, "swap", "signs")).where(F.col("lost") | (F.col("anew") > 1.0))
+    held = judged.withColumn("anew", anew(source, "swap", "signs", "gains", "log_odds")).where(F.col("lost") | (F.col("anew") > 1.0))
     return Learned(bigrams, held.select(*keys, "lost", "swap", "gain", "odds"), letters)
 
 

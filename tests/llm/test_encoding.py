@@ -76,3 +76,14 @@ def test_frequent_damage_is_found(spark, source, seen):
     rows = [("t", f"ok{i}", x) for i, x in enumerate(fine + LATIN * 8)] + [("t", f"bad{i}", garble(x)) for i, x in enumerate(bad)]
     df = spark.createDataFrame(rows, "tbl string, rec_id string, text string")
     assert {r.rec_id for r in e.garbled(df, ["tbl", "rec_id"]).collect()} == {f"bad{i}" for i in range(len(bad))}
+
+
+def test_one_garbled_line_among_many_pieces_in_order(spark):
+    """What is unusual but in order beside a garbled line does not acquit the record."""
+    codes = lambda x: e.fold(np.frombuffer(x.encode("utf-32-le"), np.uint32))
+    odd = " ".join(RUSSIAN).upper()  # capitals are rare in the corpus
+    model = e.Bigrams(100.0 * e.tally(codes(" ".join(RUSSIAN))) + 60 * np.minimum(e.tally(codes(odd)), 1), 1_000_000)
+    line = RUSSIAN[0].encode("koi8_r").decode("cp1251")
+    df = spark.createDataFrame([("t", "bad", "\n".join([line, *[odd] * 8])), ("t", "ok", odd)], "tbl string, rec_id string, text string")
+    got = [r for r in e.suspects(df, ["tbl", "rec_id"], "text", model).collect() if r.swap == "koi8_r>cp1251"]
+    assert {r.rec_id for r in got if r.gain > 0} == {"bad"}
