@@ -308,6 +308,7 @@ _written = re.compile("^[\x20-\x7e\xa0-\u052f\u1e00-\u27bf\u2e80-\u9fff\uac00-\u
 #: Cyrillic letters that look like Latin ones; words mixed of both are spelled oddly, not decoded wrongly.
 _twins = frozenset("АВЕКМНОРСТУХІЈЅаеосрухіјѕ")
 _mixed = re.compile("[A-Za-z][аеосрухіјѕ]|[АВЕКМНОРСТХІЈЅаеосрухіјѕ][A-Za-z]")
+_word = re.compile("[A-Za-z\u0400-\u045f]+")
 _foreign = re.compile("[\x80-\u024f\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{3,}")
 _cyrillic = re.compile("(?<![A-Za-z])[\u0400-\u045f](?:[\u0400-\u045f ]*[\u0400-\u045f])?(?![A-Za-z])")
 _boxes = re.compile("[\u2500-\u25a0\u0400-\u045f\u0370-\u03ff\xa0-\xff\u2219-\u2265]{3,}")
@@ -353,8 +354,11 @@ def readings(text: str, bigrams: Bigrams) -> list[Reading]:
         _lone_han(text, out)
     for m in _foreign.finditer(text):
         _single(text, m.start(), m.end(), ("cp1252", "mac_roman"), means, out)
-    if _one_cyrillic.search(text) and not _mixed.search(text):
-        for m in _cyrillic.finditer(text):
+    if _one_cyrillic.search(text):
+        spelled = text
+        if _mixed.search(text):  # oddly spelled words, and whole words of twins beside them, are left out
+            spelled = _word.sub(lambda w: "x" * len(w[0]) if _mixed.search(w[0]) or _twins.issuperset(w[0]) else w[0], text)
+        for m in _cyrillic.finditer(spelled):
             if m.end() - m.start() > 2:
                 _single(text, m.start(), m.end(), CYRILLIC, means, out)
     if boxed and _box.search(text):

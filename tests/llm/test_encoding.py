@@ -87,3 +87,10 @@ def test_one_garbled_line_among_many_pieces_in_order(spark):
     df = spark.createDataFrame([("t", "bad", "\n".join([line, *[odd] * 8])), ("t", "ok", odd)], "tbl string, rec_id string, text string")
     got = [r for r in e.suspects(df, ["tbl", "rec_id"], "text", model).collect() if r.swap == "koi8_r>cp1251"]
     assert {r.rec_id for r in got if r.gain > 0} == {"bad"}
+
+
+def test_a_mixed_word_leaves_the_rest_of_its_text(spark):
+    line = RUSSIAN[0].encode("koi8_r").decode("cp1251")
+    rows = [("t", f"ok{i}", x) for i, x in enumerate(distinct_texts(100))] + [("t", "both", f"Тhе сору\n{line}"), ("t", "bad", line), ("t", "mixed", "Тhе сору оf thе nоtе")]
+    df = spark.createDataFrame(rows, "tbl string, rec_id string, text string")
+    assert {r.rec_id for r in e.garbled(df, ["tbl", "rec_id"]).collect()} == {"both", "bad"}
