@@ -102,12 +102,12 @@ class VersionedTarget:
         rows.write.parquet(f"{self.root}/{folder}")
         return folder
 
-    def publish(self, n: int, folder: str) -> None:
-        """Makes a staged folder version n, in one atomic step. Fails if n is already published."""
+    def publish(self, n: int, folder: str, listing: str | None = None) -> None:
+        """Makes a staged folder version n, and a second one its listing, in one atomic step. Fails if n is already published."""
         made = f"{self.root}/commits/.{n}-{uuid.uuid4().hex}.tmp"
         final = f"{self.root}/commits/{n}.json"
         stream = self._fs.create(self._path(made), False)
-        stream.write(bytearray(json.dumps({"version": n, "folder": folder}).encode()))
+        stream.write(bytearray(json.dumps({"version": n, "folder": folder} | ({"listing": listing} if listing else {})).encode()))
         stream.close()
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
             self._path(made).toUri() if "://" in made else self._path("file:///").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -119,24 +119,40 @@ class VersionedTarget:
             self._fs.delete(self._path(made), False)
             raise FileExistsError(f"version {n} of {self.root} is already published") from error
 
-    def run(self, source: DataFrame, key: list[str], version: list[str], work: Callable[[DataFrame], DataFrame], schema: str) -> int | None:
-        """One run: the source rows whose key and version no published row carries go through `work` and become a version.
-
-        `work` must keep the key and version columns; `schema` describes its rows. A source row is processed exactly once
-        per version however often runs fail, since only published rows count. Null versions equal null. Repeated source rows
-        with equal key and version count once. Returns the version published, or None if there was nothing to do.
+    def state(self, key: list[str], version: list[str], schema: str) -> DataFrame:
+        """(key..., version...): what the source held by the last listing, else the rows of the last version that has the key."""
+        numbers = self.versions()
+        last = self._commit(numbers[-1]).get("listing") if numbers else None
+        if last:
+            return self.spark.read.parquet(f"{self.root}/{last}").select(*key, *version)
+        rows = self.read(schema).select(*key, *version, F.regexp_extract(F.input_file_name(), r"/v=(\d+)-[0-9a-f]+/[^/]*$", 1).cast("long").alias("_n"))
+        latest = rows.groupBy(*key).agg(F.max(F.col("_n")).alias("_last")).alias("l")
+        on = F.col("r._n") == F.col("l._last")
+        for c in key:
+            on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}"))
+        return rows.alias("r").join(latest, on, "left_semi").select(*key, *version).distinct()
+
+    def run(self, source: DataFrame, key: list[str], version: list[str], work: Callable[[DataFrame], DataFrame], schema: str, whole: bool = False) -> int | None:
+        """One run: the source rows that differ from the published state of their key go through `work` and become a version.
+
+        `work` must keep the key and version columns; `schema` describes its rows. The state of a key is its last published
+        version, so a version that comes back is processed again. With `whole` the source is all there is: keys that it lacks
+        are gone, and new when they return; each version then keeps the listing. Runs that fail publish nothing and change no
+        state. Null versions equal null. Repeated source rows with equal key and version count once. Returns the version
+        published, or None if there was nothing to do.
         """
-        done = self.read(schema).select(*key, *version).distinct().alias("t")
-        todo = source.dropDuplicates([*key, *version]).alias("s")
+        done = self.state(key, version, schema).alias("t")
+        source = source.dropDuplicates([*key, *version])
         on = None
         for c in [*key, *version]:
             one = F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
             on = one if on is None else on & one
-        todo = todo.join(done, on, "left_anti")
+        todo = source.alias("s").join(done, on, "left_anti")
         n = (self.versions() or [0])[-1] + 1
         folder = self.stage(work(todo), n)
-        if self.spark.read.schema(schema).parquet(f"{self.root}/{folder}").isEmpty():
+        gone = whole and not done.join(source.alias("s"), on, "left_anti").isEmpty()
+        if not gone and self.spark.read.schema(schema).parquet(f"{self.root}/{folder}").isEmpty():
             self._fs.delete(self._path(f"{self.root}/{folder}"), True)
             return None
-        self.publish(n, folder)
+        self.publish(n, folder, self.stage(source.select(*key, *version), n) if whole else None)
         return n

@@ -81,3 +81,26 @@ def test_a_version_is_published_once(spark, tmp_path):
     with pytest.raises(FileExistsError):
         target.publish(1, second)
     assert [r.path for r in target.read(SCHEMA).collect()] == ["a"]
+
+
+def test_runs_equal_changed_paths(spark, tmp_path):
+    """An mtime that goes back, a path that returns unchanged and one that only vanishes: one run per scan gives the rows of changed_paths."""
+    lists = [{"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 2.0, "c": 1.0}, {"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 1.0, "b": 1.0}, {"a": 1.0, "b": 1.0}]
+    records = [(10 * s + i, "r", s, p, 1, m, None, None) for s, held in enumerate(lists) for i, (p, m) in enumerate(held.items())]
+    rows = spark.createDataFrame(records, RECORDS)
+    want = {(r.scan_id, r.path) for r in inc.changed_paths(rows, spark.createDataFrame([(s, "r", "success", None) for s in range(5)], SCANS)).collect()}
+    target, got, seen = inc.VersionedTarget(spark, f"file://{tmp_path}/t"), set(), 0
+    schema = "path string, mtime double, size long"
+    for s in range(5):
+        target.run(inc.listings(rows.where(F.col("scan_id") == s)).drop("scan_id"), ["path"], ["mtime", "size"], lambda df: df, schema, whole=True)
+        held = target.read(schema).count()
+        new = [r.path for n in target.versions() if n > seen for r in spark.read.parquet(f"{target.root}/{target._commit(n)['folder']}").collect()]
+        assert held == len(got) + len(new)
+        got, seen = got | {(s, p) for p in new}, (target.versions() or [0])[-1]
+    assert got == want and (2, "a") in got and (2, "b") in got
+
+
+def test_a_version_that_returns_is_processed_again(spark, tmp_path):
+    target = inc.VersionedTarget(spark, f"file://{tmp_path}/t")
+    run = lambda v: target.run(source(spark, [("a", v)]), ["path"], ["version"], work, SCHEMA)
+    assert [run(1), run(2), run(1), run(1)] == [1, 2, 3, None]
