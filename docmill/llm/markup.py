@@ -27,8 +27,8 @@ MACROS = "code|noformat|toc|quote|panel|info|note|warning|tip|color|anchor|secti
 MATH_SIGNS = "alpha α beta β gamma γ delta δ epsilon ε lambda λ mu μ pi π rho ρ sigma σ tau τ phi φ omega ω times × cdot · pm ± leq ≤ geq ≥ neq ≠ approx ≈ infty ∞ sum ∑ int ∫ partial ∂ to →".split()
 _math = dict(zip(MATH_SIGNS[::2], MATH_SIGNS[1::2]))
 
-_tag = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[^<>]*|\s*/)?)>|<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<\?[a-z]+[^>]*\?>|<!\[CDATA\[|\]\]>|-->", regex.S | regex.I)
-_cut_tag = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\s+[a-z-]+\s*=\s*[\"'][^<>]*\Z", regex.I)
+_tag = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[^<>]*|\s*/)?)>|<!--.*?-->|<!--|<!DOCTYPE[^>]*>|<\?[a-z]+[^>]*\?>|<!\[CDATA\[|\]\]>|-->", regex.S | regex.I)
+_cut_tag = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s+[a-z-]+\s*=\s*(?:\"[^\"<>\n]*+\"?|'[^'<>\n]*+'?))++[ \t]*/?(?=[^<>]*\Z)", regex.I)
 _entity = regex.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});")
 _fence = regex.compile(r"^[ \t]*(```+|~~~+)[ \t]*([\w+#.-]*)[ \t]*$")
 _atx = regex.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
@@ -358,7 +358,7 @@ class Parser:
         cut = _cut_tag.search(text)
         if cut and cut[2].lower() in BLOCK_TAGS | INLINE_TAGS:
             self.marks += 1
-            text = text[: cut.start()]
+            text = text[: cut.start()] + text[cut.end() :]
         if "<" not in text and "-->" not in text and "]]>" not in text:
             self.lines(self.entities(text) if _entity.search(text) else text, root)
             return root

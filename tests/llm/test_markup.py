@@ -38,3 +38,9 @@ def test_table(spark):
     got = sorted((r.parent_id, r.clean_text, r.marks) for r in strip_markup(df, ["parent_id"], "content").collect() if r.clean_text is not None)
     assert got == [("2", "", 0), ("3", "plain", 0), ("4", "x", 2), ("4", "x", 2)]
     assert strip_markup(df.limit(0), ["parent_id"], "content").count() == 0
+
+
+@pytest.mark.parametrize("token", ["<!-- ", '<a href="x.md" ', '<div class="a" id=\'b\' ', '<a href="x.md\n'])
+def test_a_token_without_partner_takes_nothing_behind_it(token):
+    out, marks = clean(f"Before.\n\n{token}The rest of it,\n\nand more.")
+    assert marks > 0 and "The rest of it," in out and "and more." in out and "<" not in out and "href" not in out
