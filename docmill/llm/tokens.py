@@ -1,9 +1,11 @@
 """Encoding a whole corpus with a public byte-level BPE, each shared chunk of text once.
 
-Texts are cut at rolling-hash landmarks, so that equal passages in different documents give equal chunks. Rows of one chunk
-are brought together and the chunk is encoded once for them. Since a chunk may begin within what the tokenizer would take as
-one piece, every join is repaired: pieces are scanned anew from a safe place before the join until a piece boundary of the
-joined text agrees with one of the following chunk; from there on both encodings are the same.
+Texts are cut at rolling-hash landmarks, so that equal passages in different documents give equal chunks. A first pass counts
+chunks by hash; a chunk that occurs once is encoded where it stands, one that several documents share goes through a join by
+its content and is encoded once for all of them. Landmarks snap to the end of a run of letters, where the pieces of the
+tokenizer are the same whatever stands on the other side. A text without such a place is cut all the same, and the join is
+repaired: pieces are scanned anew from a safe place before the join until a piece boundary of the joined text agrees with one
+of the following chunk; from there on both encodings are the same.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import base64
 import os
 import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,55 +21,111 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmill.llm.splitting import rolling_hash
+from docmill.session import cut_lineage
 
-#: Default folder of the vocabulary files; every operator takes it as a parameter.
+#: Default folder of the vocabulary files, read on the driver; every operator takes it as a parameter.
 TOKENIZERS = os.environ.get("DOCMILL_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text into pieces before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Mean, least and largest length of a chunk in code points.
-MEAN, LEAST, MOST = 256, 64, 2048
+#: Mean, least and largest length of a chunk, and how far a landmark may snap, in code points.
+MEAN, LEAST, MOST, SNAP = 256, 64, 2048, 64
 #: So many code points before a join no piece can depend on what follows it, if at least three pieces lie between.
 REACH = 4
+#: Bits of the filter that tells which chunks may be shared. Its size is fixed; the fuller it is, the more chunks take the exact way.
+FILTER_BITS = 1 << 23
+#: Parts over which the uses of a shared chunk are spread in the join.
+SALTS = 8
+
+
+def rank_file(folder: str, name: str) -> bytes:
+    """The rank file of a tokenizer: a few hundred kilobytes, whatever the corpus."""
+    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as file:
+        return file.read()
 
 
 @lru_cache(maxsize=4)
-def load(folder: str, name: str):
+def coder_of(ranks: bytes, name: str):
     """The tokenizer of a rank file and the byte length of each id; once per worker."""
     import tiktoken
 
-    path = os.path.join(folder, f"{name}.tiktoken")
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-    coder = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    sizes = np.zeros(max(ranks.values()) + 1, np.int32)
-    for token, i in ranks.items():
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+    coder = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    sizes = np.zeros(max(table.values()) + 1, np.int32)
+    for token, i in table.items():
         sizes[i] = len(token)
     return coder, sizes
 
 
+def load(folder: str, name: str):
+    """The tokenizer and the byte length of each id, on the driver."""
+    return coder_of(rank_file(folder, name), name)
+
+
+def shared_ranks(spark: SparkSession, folder: str, name: str):
+    """A broadcast of the rank file, so that executors need no folder of their own."""
+    return spark.sparkContext.broadcast(rank_file(folder, name))
+
+
 def valid(text: str) -> str:
     """The text with lone surrogates replaced, as an encoder of UTF-8 needs it."""
     return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Which code points are letters to the pattern."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.zeros(0x110000, bool)
+    for m in regex.finditer(r"\p{L}+", every):
+        a, b = m.span()
+        at = np.arange(a, b)
+        out[np.where(at >= 0xD800, at + 0x800, at)] = True
+    return out
+
+
+def cut_places(texts: list[str], mean: int = MEAN, least: int = LEAST, most: int = MOST) -> list[list[tuple[int, bool]]]:
+    """For each text the inner places at which it is cut, by content alone, and whether the join needs no repair.
+
+    Between a letter and a sign that is none a piece always ends: no alternative of the pattern has letters before other
+    signs, and what a piece looks at behind itself is part of the letters. So both sides encode alike alone and together.
+    """
+    sizes = [len(t) for t in texts]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum(sizes).tolist()
+    if not len(codes):
+        return [[] for _ in texts]
+    letter = letters()[codes]
+    sure = np.nonzero(letter[:-1] & ~letter[1:])[0] + 1
+    marks = np.nonzero(rolling_hash(codes) % np.uint64(mean) == 0)[0]
+    to = np.searchsorted(sure, marks)
+    marks, to = marks[to < len(sure)], to[to < len(sure)]
+    snapped = np.unique(sure[to][sure[to] - marks <= SNAP])
+    marks, sure = snapped.tolist(), sure.tolist()
+    out = []
+    for size, end in zip(sizes, ends):
+        start = first = end - size
+        found: list[tuple[int, bool]] = []
+        while end - start >= 2 * least:
+            i = bisect_left(marks, start + least)
+            cut, safe = marks[i] if i < len(marks) else end, True
+            if min(cut, end) > start + most:
+                j = bisect_right(sure, start + most) - 1
+                cut, safe = (sure[j], True) if j >= 0 and sure[j] >= start + least else (start + most, False)
+            if end - cut < least:
+                break
+            found.append((cut - first, safe))
+            start = cut
+        out.append(found)
+    return out
+
+
 def chunk_places(text: str, mean: int = MEAN, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Inner places at which a text is cut into chunks, by content alone."""
-    if len(text) < 2 * least:
-        return []
-    hashes = rolling_hash(np.frombuffer(text.encode("utf-32-le"), np.uint32))
-    marks = np.nonzero(hashes % np.uint64(mean) == 0)[0]
-    found, start = [], 0
-    while len(text) - start >= 2 * least:
-        i = int(np.searchsorted(marks, start + least))
-        cut = min(int(marks[i]) if i < len(marks) else len(text), start + most)
-        if len(text) - cut < least:
-            break
-        found.append(cut)
-        start = cut
-    return found
+    """Inner places at which a text is cut into chunks."""
+    return [p for p, _ in cut_places([text], mean, least, most)[0]]
 
 
 _pieces = regex.compile(PATTERN)
@@ -101,18 +160,18 @@ def join_zone(left: str, right: str) -> tuple[int, str, int, bool]:
     return len(left[at:].encode()), text[:end], len(text[seam:end].encode()) if end > seam else 0, safe > 0
 
 
-def split_document(text: str, places: list[int]) -> list[tuple[str, int, str | None, int]]:
+def split_document(text: str, places: list[tuple[int, bool]]) -> list[tuple[str, int, str | None, int]]:
     """Chunks with the repair of the join before each: (chunk, bytes to drop before, zone text or None, bytes to drop here).
 
-    A zone is None where both encodings meet without change. A place whose repair would reach into the repair before it is
-    given up and its chunks become one, so that repairs never overlap.
+    A zone is None where both encodings meet without change, as at places that need no repair. A place whose repair would
+    reach into the repair before it is given up and its chunks become one, so that repairs never overlap.
     """
     starts: list[int] = [0]
     info: list[tuple[int, str | None, int]] = [(0, None, 0)]
-    for place, end in zip(places, [*places[1:], len(text)]):
+    for (place, safe), end in zip(places, [*(p for p, _ in places[1:]), len(text)]):
         starts.append(place)
         info.append((0, None, 0))
-        while len(starts) > 1:
+        while len(starts) > 1 and not safe:
             left, right = text[starts[-2] : starts[-1]], text[starts[-1] : end]
             before, zone, after, sure = join_zone(left, right)
             if before <= len(left.encode()) - info[-2][2] and (sure or len(starts) == 2):
@@ -144,45 +203,121 @@ def trim(ids: np.ndarray, sizes: np.ndarray, front: int, back: int) -> np.ndarra
     return ids
 
 
-def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(id, ids): the token ids of every document, without special tokens. Null and empty texts give an empty list.
+def _chunks(texts: list[str]) -> list[list[tuple[str, int, str | None, int]]]:
+    return [split_document(t, p) for t, p in zip(texts, cut_places(texts))]
+
+
+def _encoded(coder, texts: list[str]) -> pa.ListArray:
+    """The ids of each text as one column."""
+    held = [coder.encode_to_numpy(t, disallowed_special=()) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(h) for h in held], dtype=np.int64)]).astype(np.int32)
+    values = np.concatenate(held).astype(np.int32) if held else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
-    The ids equal those of the whole text encoded at once. Strings of special tokens are ordinary text. Repeated ids of
-    documents are a caller's error only in so far as their chunks would be assembled together; other columns are ignored.
-    Chunks are brought together by hash with a rebalance that splits a hot chunk over several tasks: each of them encodes it
-    once. The second shuffle carries integers only.
+
+def _parts(batches: Iterator[pa.RecordBatch], signs: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts, of about so many signs each, so that long texts don't add up."""
+    for batch in batches:
+        texts = [valid(t) for t in batch.column("text").to_pylist()]
+        start, held = 0, 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held >= signs or i + 1 == len(texts):
+                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+                start, held = i + 1, 0
+
+
+def may_be_shared(source: DataFrame, bits: int = FILTER_BITS):
+    """A broadcast of `bits` bits: set for every chunk that occurs more than once, and for some others by chance.
+
+    Chunks are counted by hash over all documents; words of 64 bits are put together in Spark, so that bits / 64 rows at most
+    reach the driver, whatever the corpus.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text in batch.itertuples(index=False, name=None):
-                text = valid(text) if text else ""
-                for seq, (chunk, before, zone, after) in enumerate(split_document(text, chunk_places(text))):
-                    rows.append((doc, seq, chunk, before, zone, after))
-            yield pd.DataFrame(rows, columns=["doc", "seq", "chunk", "before", "zone", "after"])
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _parts(batches):
+            held = [xxhash.xxh3_64_intdigest(c[0].encode()) for chunks in _chunks(texts) for c in chunks]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(held, np.uint64).view(np.int64))], ["h"])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, _ = load(folder, tokenizer)
-        seen: dict[str, list[int]] = {}
-        held = 0
-        for batch in batches:
-            chunks = batch.column("chunk").to_pylist()
-            new = list({c for c in chunks if c not in seen})
-            if held > 1 << 23:  # the cache is bounded; a chunk may then be encoded again
-                seen, held, new = {}, 0, list(set(chunks))
-            seen.update(zip(new, coder.encode_ordinary_batch(new, num_threads=1)))
-            held += sum(map(len, new))
-            zones = [coder.encode_ordinary(z) if z else [] for z in batch.column("zone").to_pylist()]
+    often = source.select("text").mapInArrow(hashes, "h long").groupBy("h").count().where(F.col("count") > 1)
+    at = often.select(F.pmod("h", F.lit(bits)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()
+    table = np.zeros(bits // 64, np.int64)
+    for r in words:
+        table[r["word"]] = r["bits"]
+    return source.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+
+def _in_filter(table: np.ndarray, chunks: list[str]) -> list[bool]:
+    h = np.array([xxhash.xxh3_64_intdigest(c.encode()) for c in chunks], np.uint64) & np.uint64(len(table) * 8 - 1)
+    return ((table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1).astype(bool).tolist()
+
+
+def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, bits: int = FILTER_BITS) -> DataFrame:
+    """(id, ids): the token ids of every document, without special tokens. Null and empty texts give an empty list.
+
+    The ids equal those of the whole text encoded at once. Strings of special tokens are ordinary text. Rows of equal id and
+    text come out once, an id with several texts once for each; other columns are ignored.
+
+    Documents none of whose chunks may be shared are encoded in place, without a shuffle. Of the others only the chunks that
+    may be shared are shuffled, as text once a content (128-bit hash) and as a reference once a use; uses of one chunk are
+    spread over SALTS parts.
+    """
+    spark = docs.sparkSession
+    id_type = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    full = source.where(F.length("text") > 0)
+    ranks, table = shared_ranks(spark, folder, tokenizer), may_be_shared(full, bits)
+
+    def judged(batches: Iterator[pa.RecordBatch]):
+        """Slices with their chunks, which of these may be shared, and which documents have one."""
+        for batch, texts in _parts(batches):
+            chunks = _chunks(texts)
+            marked = iter(_in_filter(table.value, [c[0] for d in chunks for c in d]))
+            shared = [[next(marked) for _ in d] for d in chunks]
+            yield batch, texts, chunks, shared, [any(s) for s in shared]
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, _ = coder_of(ranks.value, tokenizer)
+        for batch, texts, _, _, pending in judged(batches):
+            at = [i for i, p in enumerate(pending) if not p]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(at, pa.int64())), _encoded(coder, [texts[i] for i in at])], ["doc", "ids"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The parts of the other documents: stretches of own chunks with their ids, shared chunks with their text."""
+        coder, _ = coder_of(ranks.value, tokenizer)
+        for batch, texts, chunks, shared, pending in judged(batches):
+            rows: list[tuple] = []
+            own: list[str] = []
+            for i in [i for i, p in enumerate(pending) if p]:
+                whole = xxhash.xxh3_128_digest(texts[i].encode())
+                stretch: list = []
+                for (chunk, before, zone, after), common in zip(chunks[i], shared[i]):
+                    if not common and stretch and stretch[-1][1] is None and zone is None and not (before or after):
+                        stretch[-1][2] += chunk
+                    else:
+                        stretch.append([len(stretch), xxhash.xxh3_128_digest(chunk.encode()) if common else None, chunk, before, zone, after])
+                for seq, key, chunk, before, zone, after in stretch:
+                    rows.append((i, whole, seq, key, chunk if key else None, before, after))
+                    own += ["" if key else chunk, zone or ""]
+            ids = _encoded(coder, own)
+            at, whole, seq, key, text, before, after = map(list, zip(*rows)) if rows else ([],) * 7
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("seq"), pa.array([seen[c] for c in chunks], pa.list_(pa.int32())), batch.column("before"), pa.array(zones, pa.list_(pa.int32())), batch.column("after")],
-                ["doc", "seq", "ids", "before", "zone_ids", "after"],
+                [
+                    batch.column("doc").take(pa.array(at, pa.int64())), pa.array(whole, pa.binary()), pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array(text, pa.string()),
+                    ids.take(pa.array(range(0, len(own), 2), pa.int64())), pa.array(before, pa.int32()), ids.take(pa.array(range(1, len(own), 2), pa.int64())), pa.array(after, pa.int32()),
+                ],
+                ["doc", "whole", "seq", "key", "text", "ids", "before", "zone_ids", "after"],
             )
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, _ = coder_of(ranks.value, tokenizer)
+        for batch, texts in _parts(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("key"), _encoded(coder, texts)], ["key", "ids"])
+
     @F.pandas_udf("array<int>")
     def assemble(parts: pd.Series) -> pd.Series:
-        _, sizes = load(folder, tokenizer)
+        _, sizes = coder_of(ranks.value, tokenizer)
         out = []
         for chunks in parts:
             chunks = sorted(chunks, key=lambda c: c["seq"])
@@ -193,23 +328,29 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out.append(np.concatenate(ids))
         return pd.Series(out)
 
-    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    full = F.length("text") > 0
-    chunks = source.where(full).mapInPandas(cut, f"doc {id_type}, seq int, chunk string, before int, zone string, after int")
-    chunks = chunks.withColumn("key", F.xxhash64("chunk")).hint("rebalance", "key").drop("key")
-    encoded = chunks.mapInArrow(encode, f"doc {id_type}, seq int, ids array<int>, before int, zone_ids array<int>, after int")
-    whole = encoded.groupBy("doc").agg(F.collect_list(F.struct("seq", "ids", "before", "zone_ids", "after")).alias("parts"))
-    none = source.where(~full | F.col("text").isNull()).select("doc", F.lit([]).cast("array<int>").alias("ids"))
-    return whole.select("doc", assemble("parts").alias("ids")).unionByName(none).withColumnRenamed("doc", id_col)
+    names = ["doc", "whole", "seq", "before", "zone_ids", "after"]
+    schema = f"doc {id_type}, whole binary, seq int, key binary, text string, ids array<int>, before int, zone_ids array<int>, after int"
+    parts = cut_lineage(full.mapInArrow(split, schema))  # used three times below
+    common = parts.where(F.col("key").isNotNull())
+    once = common.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(encode, "key binary, ids array<int>")
+    once = once.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    uses = common.select(*names, "key", F.pmod(F.xxhash64("whole", "doc", "seq"), F.lit(SALTS)).cast("int").alias("salt"))
+    both = parts.where(F.col("key").isNull()).select(*names, "ids").unionByName(uses.join(once, ["key", "salt"]).select(*names, "ids"))
+    both = both.dropDuplicates(["doc", "whole", "seq"])
+    whole = both.groupBy("doc", "whole").agg(F.collect_list(F.struct("seq", "ids", "before", "zone_ids", "after")).alias("parts"))
+    none = source.where((F.length("text") == 0) | F.col("text").isNull()).select("doc").distinct().select("doc", F.lit([]).cast("array<int>").alias("ids"))
+    rows = full.mapInArrow(alone, f"doc {id_type}, ids array<int>").unionByName(whole.select("doc", assemble("parts").alias("ids"))).unionByName(none)
+    return rows.withColumnRenamed("doc", id_col)
 
 
 def token_counts(docs: DataFrame, text_col: str, out_col: str = "tokens", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """docs with the number of tokens of a text column; 0 for null and empty text."""
+    ranks = shared_ranks(docs.sparkSession, folder, tokenizer)
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        coder, _ = load(folder, tokenizer)
-        return pd.Series([len(x) for x in coder.encode_ordinary_batch([valid(t or "") for t in texts], num_threads=1)], dtype="int32")
+        coder, _ = coder_of(ranks.value, tokenizer)
+        return pd.Series([len(coder.encode_to_numpy(valid(t or ""), disallowed_special=())) for t in texts], dtype="int32")
 
     return docs.withColumn(out_col, count(F.coalesce(F.col(text_col), F.lit(""))))
 
