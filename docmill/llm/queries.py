@@ -82,7 +82,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", "file_path")
+    docs = table(spark, d, "documents").select("doc_id", "text", "file_path", "source", "doc_type")
     model = subjects.fit_subjects(docs, table(spark, d, "subject_seeds"), table(spark, d, "subject_areas"))
     return subjects.subjects_of(docs, model)
 
