@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 from docmill.llm.tokens import TOKENIZERS, token_counts
 from docmill.session import cut_lineage
 
-#: Slices of the hash axis; each is small enough for one task to lay out.
-SLICES = 8192
+#: Least number of slices of the hash axis, and texts that one slice should hold at most, so that one task lays it out with ease.
+SLICES, SLICE_TEXTS = 8192, 50_000
 
 
 @dataclass
@@ -137,7 +137,8 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     non-positive share or repeats neither; of several targets of a source the largest share counts.
     A source's share is met up to one document per pattern of membership.
 
-    Broadcast and collected are the targets and the patterns of membership, whose number depends on the targets only.
+    Broadcast and collected are the targets and the patterns of membership, whose number depends on the targets only. Tokens
+    are counted where a document is read and texts are told apart by a 128-bit hash, so no text is shuffled.
     """
     spark = docs.sparkSession
     want = targets.where((F.col("target_share") > 0) & (F.col("max_repeats") > 0) & F.col("source").isNotNull())
@@ -148,16 +149,16 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     out = "doc_id long, source string, tokens int, repeats int"
     if not share:
         return spark.createDataFrame([], out)
-    named = docs.where((F.length("text") > 0) & F.col("source").isin(*share)).select("doc_id", "text", "source")
-    copies = named.groupBy("text", "source").agg(F.min("doc_id").alias("doc_id"))
-    texts = copies.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("homes"))
-    texts = token_counts(texts, "text", "tokens", tokenizer, folder).where(F.col("tokens") > 0)
+    named = docs.where((F.length("text") > 0) & F.col("source").isin(*share)).select("doc_id", "source", "text")
+    named = token_counts(named, "text", "tokens", tokenizer, folder).select("doc_id", "source", "tokens", F.unhex(F.md5("text")).alias("text_key"))
+    copies = named.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
+    texts = copies.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("homes"), F.max("tokens").alias("tokens"))
     first = F.col("homes")[0]["doc_id"]
-    texts = texts.select(
-        "homes", "tokens", F.to_json(F.col("homes.source")).alias("pattern"), first.alias("first"), F.xxhash64(first, F.lit(seed)).alias("h")
-    ).withColumn("slice", F.pmod(F.shiftrightunsigned("h", 40), F.lit(SLICES)).cast("int"))
+    texts = texts.select("homes", "tokens", F.to_json(F.col("homes.source")).alias("pattern"), first.alias("first"), F.xxhash64(first, F.lit(seed)).alias("h"))
     # written once: the sizes of the patterns decide the plan before documents are selected
     texts = cut_lineage(texts)
+    n_slices = max(SLICES, -(-texts.count() // SLICE_TEXTS))
+    texts = texts.withColumn("slice", F.pmod(F.shiftrightunsigned("h", 16), F.lit(n_slices)).cast("int"))
     slices = texts.groupBy("pattern", "slice").agg(F.sum("tokens").alias("n"))
     sizes = {r["pattern"]: int(r["n"]) for r in slices.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     members = {p: json.loads(p) for p in sizes}
@@ -165,7 +166,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     plan = intervals(sizes, flow)
     if not plan:
         return spark.createDataFrame([], out)
-    before = F.sum("n").over(Window.partitionBy("pattern").orderBy("slice")) - F.col("n")  # at most SLICES rows a pattern
+    before = F.sum("n").over(Window.partitionBy("pattern").orderBy("slice")) - F.col("n")  # two numbers a slice
     offsets = slices.select("pattern", "slice", before.alias("offset"))
     in_slice = Window.partitionBy("pattern", "slice").orderBy("h", "first").rowsBetween(Window.unboundedPreceding, -1)
     laid = texts.withColumn("inner", F.coalesce(F.sum("tokens").over(in_slice), F.lit(0))).join(offsets, ["pattern", "slice"])

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 
 from docmill.llm import mixing, tokens
@@ -42,3 +45,31 @@ def test_empty(spark):
     assert mixing.mix(docs, targets).count() == 0
     assert mixing.mix(docs, targets.limit(0)).count() == 0
     assert mixing.shares(mixing.mix(docs, targets), targets).first().actual_share == 0
+
+
+def price(n, capacity):
+    """Cost of n tokens of a pattern: the r-th use of a token costs r * r."""
+    whole, rest = divmod(n, capacity)
+    return capacity * sum(r * r for r in range(1, whole + 1)) + rest * (whole + 1) ** 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flow_is_the_optimum_of_all_flows(seed):
+    rng = random.Random(seed)
+    capacity = {p: rng.randint(1, 2) for p in "xy"}
+    members = {p: sorted(rng.sample("abc", rng.randint(2, 3))) for p in "xy"}
+    repeats = {s: rng.randint(1, 2) for s in "abc"}
+    quota = {s: rng.randint(0, 4) for s in "abc"}
+    pairs = [(p, s) for p in "xy" for s in members[p]]
+    best = None
+    for held in itertools.product(*(range(capacity[p] * repeats[s] + 1) for p, s in pairs)):
+        flow = dict(zip(pairs, held))
+        used = {p: sum(n for (q, _), n in flow.items() if q == p) for p in "xy"}
+        if any(used[p] > capacity[p] * max(repeats[s] for s in members[p]) for p in "xy") or any(sum(n for (_, t), n in flow.items() if t == s) > quota[s] for s in "abc"):
+            continue
+        cost = sum(price(used[p], capacity[p]) for p in "xy") + sum(price(n, capacity[p]) for (p, _), n in flow.items())
+        best = max(best or (-1, 0), (sum(held), -cost))
+    got = mixing.min_cost_flow(capacity, members, quota, repeats)
+    used = {p: sum(n for (q, _), n in got.tokens.items() if q == p) for p in "xy"}
+    cost = sum(price(used[p], capacity[p]) for p in "xy") + sum(price(n, capacity[p]) for (p, _), n in got.tokens.items())
+    assert (got.total, -cost) == best
