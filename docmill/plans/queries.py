@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +11,7 @@ from docmill.functions import text as fn
 from docmill.operators import catalog, chunking, cleaning, embedding, incremental, messages as msg, quality, registry, retrieval, structure
 from docmill.plans import fixtures as fx
 from docmill.plans.fixtures import BLOCKS, CHILDREN, FILES, MESSAGES, PARENTS, RUN_EVENTS, SNAPSHOTS, VECTORS, W, collapse_sql, newlines_sql, normalize_sql, preview_sql, strip_sql
-from docmill.session import table
+from docmill.session import shared_dir, table
 from docmill.sources import frames, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,15 @@ P4_SQL = """with l as (select scan_id, replace(path, '\\', '/') as path, mtime,
 
 @query(P4_SQL)
 def p4_found(spark, d):
+    """All scans as one run of a new target in the shared folder; the rows are read from what it published."""
+    target = incremental.VersionedTarget(spark, f"{shared_dir(spark)}/p4-{uuid.uuid4().hex}")
+    incremental.process_scans(target, table(spark, d, "file_records"), table(spark, d, "scan_results"))
+    return incremental.processed_paths(target).select("scan_id", "path")
+
+
+@query(P4_SQL)
+def changed_paths(spark, d):
+    """The same for a whole history at once, without a target."""
     return incremental.changed_paths(table(spark, d, "file_records"), table(spark, d, "scan_results")).select("scan_id", "path")
 
 

@@ -104,3 +104,60 @@ def test_a_version_that_returns_is_processed_again(spark, tmp_path):
     target = inc.VersionedTarget(spark, f"file://{tmp_path}/t")
     run = lambda v: target.run(source(spark, [("a", v)]), ["path"], ["version"], work, SCHEMA)
     assert [run(1), run(2), run(1), run(1)] == [1, 2, 3, None]
+
+
+def test_two_interleaved_runs_repeat_nothing(spark, tmp_path):
+    target, other = (inc.VersionedTarget(spark, f"file://{tmp_path}/t") for _ in range(2))
+    calls = []
+
+    def overtaken(df):
+        if not calls:
+            calls.append(other.run(source(spark, [("a", 1)]), ["path"], ["version"], work, SCHEMA))
+        return work(df)
+
+    assert target.run(source(spark, [("a", 1), ("b", 1)]), ["path"], ["version"], overtaken, SCHEMA) == 2
+    assert calls == [1] and sorted(r.path for r in target.read(SCHEMA).collect()) == ["a", "b"]
+
+
+def test_a_root_without_scheme_is_on_the_default_file_system(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://c/")
+    conf.set("fs.viewfs.mounttable.c.link./data", f"file://{tmp_path}")
+    try:
+        target = inc.VersionedTarget(spark, "/data/t")
+        assert target.root == "viewfs://c/data/t"
+        assert target.run(source(spark, [("a", 1)]), ["path"], ["version"], work, SCHEMA) == 1
+        assert (tmp_path / "t/commits/1.json").exists() and target.read(SCHEMA).count() == 1
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
+
+
+def test_state_is_kept_every_few_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inc, "COMPACT", 2)
+    target = inc.VersionedTarget(spark, f"file://{tmp_path}/t")
+    run = lambda *rows: target.run(source(spark, list(rows)), ["path"], ["version"], work, SCHEMA)
+    assert [run(("a", 1), ("b", 1)), run(("a", 2)), run(("a", 1), ("b", 1)), run(("b", 2), ("a", 1)), run(("b", 2)), run(("b", 1))] == [1, 2, 3, 4, None, 5]
+    assert "listing" in target._commit(2) and "listing" in target._commit(4) and "listing" not in target._commit(3)
+    assert sorted(map(tuple, target.state(["path"], ["version"], SCHEMA).collect())) == [("a", 1), ("b", 1)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_runs_over_scans_equal_the_whole_history(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    scans = [(i, rng.choice("aab"), rng.choice(["success", "success", "failed", None]), None) for i in range(1, 16)]
+    records = [(i, s[1], s[0], rng.choice(["x/", "x\\"]) + str(rng.randrange(6)), rng.choice([1, 2, None]), rng.choice([1.0, 2.0, None]), "", "") for i in range(400) for s in [rng.choice(scans)]]
+    rows, target = spark.createDataFrame(records, RECORDS), inc.VersionedTarget(spark, f"file://{tmp_path}/t")
+    for upto in (4, 5, 9, 15, 15):
+        before = target.versions()
+        with pytest.MonkeyPatch.context() as m:  # a run that dies between writing and publishing
+            m.setattr(target, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+            known = spark.createDataFrame([s for s in scans if s[0] <= upto], SCANS)
+            if inc.scan_plan(known, target.read(inc.HISTORY, before[-1:]).where("held and path is null").select("scan_id", "root") if before else None).where("new").isEmpty():
+                assert inc.process_scans(target, rows, known) is None
+                continue
+            with pytest.raises(RuntimeError):
+                inc.process_scans(target, rows, known)
+        assert target.versions() == before and inc.process_scans(target, rows, known) == len(before) + 1
+    got = [(r.scan_id, r.path) for r in inc.processed_paths(target).collect()]
+    assert set(got) == brute(records, scans) and len(got) == len(set(got))
