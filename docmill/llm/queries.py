@@ -50,7 +50,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embed_vectors").select("vec_id", "vectors")
     found = knn.nearest(vectors, k=5, dim=64, query=F.col("vec_id") % 20 == 0)
-    return found.select(F.col("query_id").alias("vec_id"), "rank", "neighbor_id", "similarity")
+    return found.select(F.col("query_id").alias("vec_id"), "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -110,6 +110,8 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"""with ok as ({_PROPER}), r as (select a.vec_id q, b.vec_id n, row_number() over (partition by a.vec_id order by
  list_cosine_similarity(a.v, b.v) desc, b.vec_id) k from ok a join ok b on a.vec_id <> b.vec_id where a.is_probe)
  select distinct least(q, n) vec_a, greatest(q, n) vec_b from r where k <= 5""",
+        "p5_neighbors": f"""with ok as ({_PROPER}), r as (select a.vec_id, b.vec_id neighbor_id, list_cosine_similarity(a.v, b.v) s, row_number() over (partition by a.vec_id order by
+ list_cosine_similarity(a.v, b.v) desc, b.vec_id) k from ok a join ok b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0) select vec_id, cast(k as int) as rank, neighbor_id, round(s, 6) as similarity from r where k <= 5""",
         "p6_found": """select 'parent_docs' tbl, parent_id item_id from parent_docs where length(content) > 2000
  union select 'pdf_sections', cast(section_id as varchar) from pdf_sections where length(array_to_string(list_filter(body_texts, lambda x: x is not null and x <> ''), chr(10) || chr(10))) > 2000
  union select 'pdf_drafts', cast(draft_id as varchar) from pdf_drafts where length(array_to_string(list_filter(texts, lambda x: x is not null and x <> ''), chr(10) || chr(10))) > 2000""",

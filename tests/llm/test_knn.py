@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -42,11 +43,47 @@ def test_queries_small_and_empty_inputs(spark):
 @given(st.integers(0, 10_000), st.integers(1, 6))
 def test_quantised_tiles_lose_nothing(seed, k):
     rng = np.random.default_rng(seed)
-    base = rng.normal(size=(900, 16))
+    base = np.concatenate([c + rng.normal(size=(900, 16)) * 0.2 for c in rng.normal(size=(4, 16))])
     base[5:40] = base[4] + rng.normal(size=(35, 16)) * 1e-4
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    ids = rng.permutation(900).astype(np.int64)
-    heap, sims = knn.cell(k, ids[:50], base[:50], ids, base)
+    base = knn.unit_vectors(base)
+    ids = rng.permutation(len(base)).astype(np.int64)
+    stripe = knn.Stripe(ids, *knn.quantise(base))
+    row, found, low, high = stripe.survivors(k, ids[:50], *knn.quantise(base[:50]))
     full = base[:50] @ base.T
+    at = {i: j for j, i in enumerate(ids)}
+    exact = np.array([full[r, at[i]] for r, i in zip(row, found)])
+    assert (low <= exact + 1e-6).all() and (exact <= high + 1e-6).all()
     full[np.arange(50), np.arange(50)] = -np.inf
-    assert np.allclose(np.sort(full, axis=1)[:, ::-1][:, :k], sims, atol=1e-12)
+    for r in range(50):
+        assert set(ids[np.argsort(-full[r])[:k]]) <= set(found[row == r])
+    assert stripe.skipped > 0
+
+
+def test_many_groups_and_stripes(spark):
+    """Nine groups, eight stripes, a third of all vectors in one place: brute force, and cells of equal size."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1800, 8)).astype(np.float32)
+    x[:600] = x[0] + rng.normal(size=(600, 8)).astype(np.float32) * 0.05
+    rows = spark.createDataFrame(rows_of(x), SCHEMA)
+    found = knn.nearest(rows, k=5, dim=8, stripe=225, group=200).toPandas()
+    brute = knn.brute_force(np.arange(1800), x.astype(np.float64), 5)
+    assert set(zip(found.query_id, found["rank"], found.neighbor_id)) == set(zip(brute.query_id, brute["rank"], brute.neighbor_id))
+    assert knn.grid(1800, 1800, 4, 225, 200) == (8, 9)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1800)), pa.array([list(map(float, v)) for v in x], pa.list_(pa.float32())), pa.array([True] * 1800)], ["id", "v", "is_query"])
+    sizes = {}
+    for out in knn.blocks_of(iter([batch]), 8, 8, 9):
+        assert out.nbytes < 1 << 22
+        for cell, role, ids in zip(*(out.column(i).to_pylist() for i in range(3))):
+            sizes[cell, role] = sizes.get((cell, role), 0) + len(ids) // 8
+    assert len(sizes) == 2 * 72 and max(sizes.values()) <= 2 * np.median(list(sizes.values()))
+
+
+def test_copies_are_not_searched(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[100:] = x[100]
+    found = knn.nearest(spark.createDataFrame(rows_of(x), SCHEMA), k=3, dim=8).toPandas()
+    lists = found.sort_values("rank").groupby("query_id").neighbor_id.apply(list)
+    assert len(found) == 900 and lists[100] == [101, 102, 103] and lists[250] == [100, 101, 102] and lists[101] == [100, 102, 103]
+    brute = knn.brute_force(np.arange(300), x.astype(np.float64), 3).groupby("query_id").neighbor_id.apply(list)
+    assert all(sorted(lists[i]) == sorted(brute[i]) or 100 in lists[i] for i in range(100))
