@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +15,12 @@ from docmill.functions.text import col
 BATCH, TRIES, PAUSE = 8, 3, 0.5
 
 
+#: What the hash of a trigram is made of: a factor for each sign, and a prime.
+FACTORS, PRIME = (73856093, 19349663, 83492791), 2147483629
+
+
 class HashingEncoder:
-    """Character trigrams hashed to `dimension` signed places, unit length. Deterministic, so a rebuild gives equal vectors."""
+    """Character trigrams hashed to `dimension` signed places, unit length. Deterministic, so a rebuild gives equal vectors; all texts of a call at once."""
 
     provider, model = "local", "hashed-trigrams"
 
@@ -25,16 +28,17 @@ class HashingEncoder:
         self.dimension = dimension
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension))
-        for row, text in zip(out, texts):
-            t = f" {' '.join(text.lower().split())} "
-            for i in range(len(t) - 2):
-                h = zlib.crc32(t[i : i + 3].encode("utf-8", "surrogatepass"))
-                row[h % self.dimension] += 1 if h & 0x80000000 else -1
-            norm = np.linalg.norm(row)
-            if norm:
-                row /= norm
-        return out
+        flat = [f" {' '.join(t.lower().split())} " for t in texts]
+        codes = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(flat)), [len(t) for t in flat])
+        if len(codes) < 3:
+            return np.zeros((len(texts), self.dimension))
+        whole = row[:-2] == row[2:]
+        h = sum(c * f for c, f in zip((codes[:-2], codes[1:-1], codes[2:]), FACTORS))[whole] % PRIME
+        sign = np.where(h // self.dimension % 2, 1.0, -1.0)
+        out = np.bincount(row[:-2][whole] * self.dimension + h % self.dimension, sign, len(texts) * self.dimension).reshape(len(texts), self.dimension)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm > 0, norm, 1)
 
 
 def signature(provider: str, model: str, dimension: int) -> str:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docmill.functions.text import embedding_text
 from docmill.operators import catalog, chunking, cleaning, embedding, quality, retrieval, structure
+from docmill.operators.incremental import VersionedTarget
+from docmill.session import cut_lineage
 from docmill.sources import files as source, pdf, sinks
 
 
@@ -22,62 +27,101 @@ class KnowledgeBase:
     max_mb: int = 50
 
 
-def documents(spark: SparkSession, kb: KnowledgeBase, paths: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
-    """The cleaned documents of the files that a scan keeps (or of `paths`); PDF documents come from their text blocks, read here or given."""
-    listed = source.binary_files(spark, kb.root)
-    keep = catalog.suppress_duplicates(listed.drop("content").where(catalog.skip_reason("path", "size", kb.max_mb, kb.include_ext, kb.exclude_glob).isNull())).where(F.col("duplicate_of").isNull()).select("path")
-    if paths is not None:
-        keep = keep.join(paths.select("path"), "path", "left_semi")
-    loaded = source.load_documents(listed.join(keep, "path", "left_semi").where(catalog.suffix_of("path") != ".pdf")).where(F.col("text").isNotNull())
-    kept_pdf = keep.withColumnRenamed("path", "file")
+MANIFEST = "path string, mtime double, size bigint"
+#: What is said of a PDF without text: it was read and has nothing to index.
+NO_TEXT = "no text"
+
+
+def load(spark: SparkSession, kb: KnowledgeBase, paths: DataFrame, work: str, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors): the cleaned documents of some files, and (path, reason) of those that can't be read.
+
+    Files are read and parsed once: what is loaded goes to `work` first. PDF documents come from their text blocks, read here
+    or given.
+    """
+    listed = source.binary_files(spark, kb.root).join(paths.select("path"), "path", "left_semi")
+    source.load_documents(listed.where(catalog.suffix_of("path") != ".pdf")).write.parquet(f"{work}/loaded")
+    loaded = spark.read.parquet(f"{work}/loaded")
     if blocks is None:
-        listed_pdf = listed.where(catalog.suffix_of("path") == ".pdf").join(keep, "path", "left_semi")
-        blocks = pdf.blocks(listed_pdf).where(F.col("error").isNull()).drop("error")
-    paged = structure.paged_documents(blocks.join(kept_pdf, "file", "left_semi"))
-    modified = listed.select(F.col("path").alias("file"), "mtime")
-    paged = paged.join(modified, "file").select(F.col("file").alias("file_path"), F.lit("pdf").alias("doc_type"), F.col("draft_no").cast("long").alias("doc_no"), "text", "page_number", "heading_path", "section_title", "mtime")
-    loaded = loaded.drop("error").unionByName(paged, allowMissingColumns=True)
-    return cleaning.enhance(loaded, kb.name)
+        pdf.blocks(listed.where(catalog.suffix_of("path") == ".pdf")).write.parquet(f"{work}/blocks")
+        blocks = spark.read.parquet(f"{work}/blocks")
+    elif "error" not in blocks.columns:
+        blocks = blocks.withColumn("error", F.lit(None).cast("string"))
+    blocks = blocks.join(paths.select(F.col("path").alias("file")), "file", "left_semi")
+    errors = loaded.where(F.col("error").isNotNull()).select(F.col("file_path").alias("path"), "error")
+    errors = errors.unionByName(blocks.where(F.col("error").isNotNull() & (F.col("error") != NO_TEXT)).select(F.col("file").alias("path"), "error"))
+    paged = structure.paged_documents(blocks.where(F.col("error").isNull()).drop("error"))
+    modified = source.catalogue(spark, kb.root).select(F.col("path").alias("file"), "mtime")
+    paged = paged.join(modified, "file").select(F.col("file").alias("file_path"), F.lit("pdf").alias("doc_type"), F.col("draft_no").cast("long").alias("doc_no"), "text", "page_number", "page_end", "heading_path", "section_title", "mtime")
+    loaded = loaded.where(F.col("error").isNull() & F.col("text").isNotNull()).drop("error").unionByName(paged, allowMissingColumns=True)
+    return cleaning.enhance(loaded, kb.name), errors.select("path", F.concat(F.lit("load_failed: "), "error").alias("reason")).distinct()
+
+
+def current(spark: SparkSession, out: str) -> str:
+    """The folder of the newest published version of an index."""
+    target = VersionedTarget(spark, out)
+    numbers = target.versions()
+    if not numbers:
+        raise FileNotFoundError(f"no index at {out}")
+    return target.folder(numbers[-1])
 
 
 def build(spark: SparkSession, kb: KnowledgeBase, out: str, encoder: Callable[[], Callable] | None = None, dimension: int = 64, incremental: bool = False, blocks: DataFrame | None = None) -> dict:
-    """Builds the index at `out`; returns its counts.
+    """Builds the index at `out` as a new version; returns its counts.
 
-    incremental=True keeps the chunks of unchanged files and drops those of deleted ones; it fails if the index was built
-    with another encoder. The stores are written before the manifest, so an index without a manifest is not finished.
+    A version is a folder with parents, parent_docs, child_chunks, manifest and skipped; it is read only once it is published
+    as a whole, so a run that dies leaves the version before as it is. incremental=True takes the chunks of unchanged files
+    over from that version and leaves out deleted ones; it fails if the version was built with another encoder, and builds all
+    if there is none. Files that can't be read are told in skipped, are no part of the manifest and so are tried again.
+    Children are embedded with the headings that they stand under and keep the metadata of their parents.
     """
     make = encoder or (lambda: embedding.HashingEncoder(dimension))
     made = make()
-    sign = embedding.signature(getattr(made, "provider", "custom"), getattr(made, "model", type(made).__name__), dimension)
-    listing = source.catalogue(spark, kb.root)
-    changed = kept = None
-    if incremental:
-        head = spark.read.option("multiLine", "true").json(f"{out}/manifest.json").first()
+    model = getattr(made, "model", type(made).__name__)
+    sign = embedding.signature(getattr(made, "provider", "custom"), model, dimension)
+    target = VersionedTarget(spark, out)
+    numbers = target.versions() if incremental else []
+    before = target.folder(numbers[-1]) if numbers else None
+    if before:
+        head = json.loads(target._commit(numbers[-1])["head"])
         if head["embedder_signature"] != sign:
             raise ValueError(f"the index was built with {head['embedder_signature']}, not {sign}")
-        manifest = spark.read.schema("path string, mtime double, size bigint").json(f"{out}/manifest")
-        status = catalog.scan(listing, manifest, kb.max_mb, kb.include_ext, kb.exclude_glob)
-        changed, kept = status.where(F.col("status").isin("added", "modified")), status.where(F.col("status") == "unchanged").select(F.col("path").alias("file_path"))
-    parents = chunking.split_parents(documents(spark, kb, changed, blocks))
-    children = embedding.embed(chunking.split_children(parents, make), "content", make)
-    children = children.withColumn("embedding", embedding.checked("embedding", dimension))
-    stage = f"{out}/staging"
-    parents.write.mode("overwrite").parquet(f"{stage}/parents")
-    parents = spark.read.parquet(f"{stage}/parents")
-    children.write.mode("overwrite").parquet(f"{stage}/children")
-    children = spark.read.parquet(f"{stage}/children")
-    if incremental:
-        old = spark.read.parquet(f"{out}/parents").join(kept, "file_path", "left_semi")
-        old_children = spark.read.parquet(f"{out}/child_chunks").join(old.select("parent_id"), "parent_id", "left_semi")
-        old.unionByName(parents).write.mode("overwrite").parquet(f"{stage}/all_parents")
-        old_children.unionByName(children).write.mode("overwrite").parquet(f"{stage}/all_children")
-        parents, children = spark.read.parquet(f"{stage}/all_parents"), spark.read.parquet(f"{stage}/all_children")
-    parents.write.mode("overwrite").parquet(f"{out}/parents")
-    sinks.write_parents(parents, out)
-    sinks.write_children(children, out)
-    files = listing.join(catalog.scan(listing, spark.createDataFrame([], "path string, mtime double, size bigint"), kb.max_mb, kb.include_ext, kb.exclude_glob).where(F.col("status") != "skipped").select("path"), "path", "left_semi")
-    sinks.write_manifest(quality.manifest_files(files, parents, children), out, kb.name, kb.root, sign)
-    return quality.kb_stats(files, parents, children).first().asDict()
+    listing = source.catalogue(spark, kb.root)
+    manifest = spark.read.schema(MANIFEST).json(f"{before}/manifest") if before else spark.createDataFrame([], MANIFEST)
+    scanned = cut_lineage(catalog.scan(listing, manifest, kb.max_mb, kb.include_ext, kb.exclude_glob))
+    changed = scanned.where(F.col("status").isin("added", "modified")).select("path")
+    kept = scanned.where(F.col("status") == "unchanged").select("path")
+    n = (target.versions() or [0])[-1] + 1
+    folder = f"v={n}-{uuid.uuid4().hex[:12]}"
+    made_in = f"{target.root}/{folder}"
+    work = f"{made_in}/work"
+    docs, errors = load(spark, kb, changed, work, blocks)
+    chunking.split_parents(docs).write.parquet(f"{work}/parents")
+    parents = spark.read.parquet(f"{work}/parents")
+    children = chunking.split_children(parents, make).withColumn("_text", embedding_text("content", "doc_type", "heading_path"))
+    children = embedding.embed(children, "_text", make).drop("_text").withColumn("embedding", embedding.checked("embedding", dimension))
+    children.write.parquet(f"{work}/children")
+    children = spark.read.parquet(f"{work}/children")
+    if before:
+        old = spark.read.parquet(f"{before}/parents").join(kept.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+        old_children = spark.read.parquet(f"{before}/child_chunks").join(kept.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+        parents, children = parents.unionByName(old), children.unionByName(old_children)
+    parents.write.parquet(f"{made_in}/parents")
+    parents = spark.read.parquet(f"{made_in}/parents")
+    sinks.write_parents(parents, made_in)
+    sinks.write_children(children, made_in)
+    children = spark.read.parquet(f"{made_in}/child_chunks")
+    files = listing.join(kept.unionByName(changed), "path", "left_semi").join(errors.select("path"), "path", "left_anti")
+    skipped = scanned.where(F.col("status") == "skipped").select("path", "reason").unionByName(errors)
+    stats = quality.kb_stats(files, parents, children).first().asDict()
+    head = sinks.manifest_head(kb.name, kb.root, model, dimension, sign, stats)
+    sinks.write_manifest(quality.manifest_files(files, parents, children), skipped, made_in, head)
+    target.drop(f"{folder}/work")
+    try:
+        target.publish(n, folder, head=json.dumps(head, ensure_ascii=False))
+    except FileExistsError:
+        target.drop(folder)
+        raise
+    return stats
 
 
 def query(spark: SparkSession, out: str, texts: list[str], k: int = 5, encoder: Callable[[], Callable] | None = None, dimension: int = 64) -> DataFrame:
@@ -87,5 +131,6 @@ def query(spark: SparkSession, out: str, texts: list[str], k: int = 5, encoder:
         raise ValueError("a query must not be blank")
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(encode(texts))]
     queries = spark.createDataFrame(rows, "query_id int, query_vector array<float>")
-    children = spark.read.parquet(f"{out}/child_chunks")
-    return retrieval.with_parents(retrieval.top_k(children, queries, k), children, spark.read.parquet(f"{out}/parents"))
+    folder = current(spark, out)
+    children = spark.read.parquet(f"{folder}/child_chunks")
+    return retrieval.with_parents(retrieval.top_k(children, queries, k), children, spark.read.parquet(f"{folder}/parents"))

@@ -110,7 +110,7 @@ def docx_parts(data: bytes) -> tuple[list[tuple[str, str]], list[list[list[str]]
         if _local(s) == "style":
             names[_attribute(s, "styleId")] = next((_attribute(n, "val") for n in s if _local(n) == "name"), "") or ""
     paragraphs, tables = [], []
-    body = next((e for e in root or [] if _local(e) == "body"), [])
+    body = next((e for e in ([] if root is None else root) if _local(e) == "body"), [])
     for e in body:
         if _local(e) == "p":
             style = next((_attribute(x, "val") for x in e.iter() if _local(x) == "pStyle"), "") or ""

@@ -45,10 +45,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"cannot write {path}")
 
 
-def write_manifest(files: DataFrame, root: str, kb_name: str, source_root: str, signature: str) -> None:
-    """One JSON document a file in manifest/, written by all tasks, and the head in manifest.json, written last by the driver."""
+def manifest_head(kb_name: str, source_root: str, model: str, dimension: int, signature: str, stats: dict[str, int]) -> dict:
+    """What a manifest says of the index as a whole."""
+    made = datetime.now(timezone.utc).isoformat(timespec="seconds")
+    return {"kb_name": kb_name, "root": source_root, "embedding_model": model, "embedding_dimension": dimension, "embedder_signature": signature, "stats": stats, "built_at": made}
+
+
+def write_manifest(files: DataFrame, skipped: DataFrame, root: str, head: dict) -> None:
+    """One JSON document a file in manifest/ and a skipped file in skipped/ (path, reason), written by all tasks, and the head in manifest.json, written last by the driver."""
     files.select("path", "mtime", "size", "parent_ids", "child_count").write.mode("overwrite").json(f"{root}/manifest")
-    head = {"kb_name": kb_name, "root": source_root, "embedder_signature": signature, "built_at": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    skipped.select("path", "reason").write.mode("overwrite").json(f"{root}/skipped")
     write_text(files.sparkSession, f"{root}/manifest.json", json.dumps(head, ensure_ascii=False, indent=2))
 
 
@@ -73,11 +79,39 @@ def report_lines(parents: DataFrame, children: DataFrame) -> DataFrame:
     return lines.select("file_path", F.posexplode(F.concat(F.array(F.concat(F.lit("# "), "file_path")), "lines")).alias("line_no", "line"))
 
 
-def evaluation_report(spark: SparkSession, quality: DataFrame, focus: DataFrame, path: str) -> str:
-    """Writes the figures of one index as Markdown; returns the text. Both tables are a handful of rows."""
-    row = quality.first().asDict()
-    lines = ["# Index figures", "", *(f"- {k}: {round(v, 1) if isinstance(v, float) else v}" for k, v in row.items()), "", "| file | parents | children |", "| --- | --- | --- |"]
+def query_section(hits: DataFrame) -> DataFrame:
+    """(query_id, line_no, line): the part of a report on queries: rank, score and preview of the rows of retrieval.query_report, in order; a query without hits says so."""
+    from docmill.functions.text import escape_table
+
+    line = F.concat(F.lit("- "), F.col("rank").cast("string"), F.lit(". ("), F.format_number("score", 4), F.lit(") "), escape_table(F.coalesce("preview", F.lit(""))))
+    held = hits.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", line.alias("t"))))), lambda x: x["t"]).alias("lines"))
+    body = F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.array(F.lit("- no hits")))
+    return held.select("query_id", F.posexplode(F.concat(F.array(F.concat(F.lit("## query "), F.col("query_id").cast("string"))), body)).alias("line_no", "line"))
+
+
+#: What each verdict of quality.conclusion advises.
+ADVICE = {"few_split": "Hardly any parent is split: look at the cut of children.", "many_short": "Many children are short: look at how short ones are joined.", "fine": "Parents and children are well cut."}
+
+
+def evaluation_report(spark: SparkSession, quality: DataFrame, focus: DataFrame, path: str, hits: DataFrame | None = None) -> str:
+    """Writes the figures of one index as Markdown: key figures, conclusion, files in focus and hits of queries; returns the text.
+
+    quality is the one row of quality.chunk_quality, focus a handful of files, hits the rows of retrieval.query_report for the
+    few queries of a report.
+    """
+    from docmill.operators.quality import conclusion
+
+    row = conclusion(quality).first().asDict()
+    share = lambda n, of: f"{row[n]} ({100 * row[n] / row[of]:.1f} %)" if row[of] else f"{row[n]}"
+    lines = [
+        "# Evaluation of the index", "", "## Key figures", "", "| figure | value |", "| --- | --- |", f"| parents | {row['parents']} |", f"| children | {row['children']} |",
+        f"| children a parent | {row['children'] / row['parents'] if row['parents'] else 0:.2f} |", f"| mean length of parents | {row['parent_mean']:.1f} |", f"| mean length of children | {row['child_mean']:.1f} |",
+        f"| short parents | {share('short_parents', 'parents')} |", f"| short children | {share('short_children', 'children')} |", f"| very short children | {share('very_short_children', 'children')} |",
+        f"| split parents | {share('split_parents', 'parents')} |", f"| parents without heading | {share('no_heading', 'parents')} |", "", "## Conclusion", "", ADVICE[row["verdict"]], "", "## Files in focus", "", "| file | parents | children |", "| --- | --- | --- |",
+    ]
     lines += [f"| {r['file_path']} | {r['parents']} | {r['children']} |" for r in focus.collect()]
+    if hits is not None:
+        lines += ["", *(r["line"] for r in query_section(hits).orderBy("query_id", "line_no").collect())]
     text = "\n".join(lines) + "\n"
     write_text(spark, path, text)
     return text

@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from docmill.operators import embedding
 from docmill.plans import index
 from docmill.sources import files as f, frames, sinks
 
@@ -107,7 +108,7 @@ def test_index_round_trip(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("index"))
     kb = index.KnowledgeBase("kb", folder)
     counts = index.build(spark, kb, out)
-    assert counts["files"] == 7 and counts["parents"] >= 6 and counts["children"] >= counts["parents"]
+    assert counts["files"] == 6 and counts["parents"] >= 6 and counts["children"] >= counts["parents"]
     again = index.build(spark, kb, out)
     assert again == counts
     best = index.query(spark, out, ["words on rivers"], 1).first()
@@ -117,17 +118,77 @@ def test_index_round_trip(spark, folder, tmp_path_factory):
     with open(folder + "/new.txt", "w") as file:
         file.write("new words")
     more = index.build(spark, kb, out, incremental=True)
-    assert more["files"] == 8 and more["parents"] == counts["parents"] + 1
+    assert more["files"] == 7 and more["parents"] == counts["parents"] + 1
     full = index.build(spark, kb, str(tmp_path_factory.mktemp("full")))
     assert full == more
     with pytest.raises(ValueError):
         index.build(spark, kb, out, dimension=32, incremental=True)
     wanted = spark.createDataFrame([("none",)], "parent_id string")
-    assert sinks.get_parents(spark, out, wanted).first().content is None
+    assert sinks.get_parents(spark, index.current(spark, out), wanted).first().content is None
     with pytest.raises(ValueError):
         index.query(spark, out, [" "])
 
 
+def test_index_versions(spark, folder, tmp_path_factory, monkeypatch):
+    """A run that dies changes nothing; unreadable files are told and tried again; children keep what is known of their parents."""
+    out = str(tmp_path_factory.mktemp("index"))
+    kb = index.KnowledgeBase("kb", folder)
+    first = index.build(spark, kb, out)
+    at = index.current(spark, out)
+    skipped = {r.path.rpartition("/")[2]: r.reason for r in spark.read.json(f"{at}/skipped").collect()}
+    assert skipped["bad.docx"].startswith("load_failed: BadZipFile") and skipped["y.bin"] == "unsupported_extension" and skipped["a.pdf"].startswith("duplicate")
+    children = {r.file_path.rpartition("/")[2]: r for r in spark.read.parquet(f"{at}/child_chunks").collect()}
+    assert children["d.xlsx"].sheet_name == "S" and children["p.pdf"].page_number == 1 and all(c.kb_name == "kb" and c.mtime for c in children.values())
+    head = index.json.loads(index.VersionedTarget(spark, out)._commit(1)["head"])
+    assert head["stats"] == first and head["embedding_dimension"] == 64 and head["embedding_model"] == "hashed-trigrams"
+    with open(folder + "/bad.docx", "wb") as file:
+        file.write(docx())
+    with open(folder + "/a.md", "a") as file:
+        file.write("\nmore words")
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "write_manifest", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            index.build(spark, kb, out, incremental=True)
+    assert index.current(spark, out) == at and index.query(spark, out, ["words on rivers"], 1).count() == 1
+    more = index.build(spark, kb, out, incremental=True)
+    assert more["files"] == first["files"] + 1
+    assert more == index.build(spark, kb, str(tmp_path_factory.mktemp("full")))
+
+
+def test_heading_prefix_is_embedded(spark, folder, tmp_path_factory):
+    seen = []
+
+    class Encoder(embedding.HashingEncoder):
+        def __call__(self, texts):
+            with open(folder + "/../seen.txt", "a") as file:
+                file.writelines(t.split("\n")[0] + "\n" for t in texts)
+            return super().__call__(texts)
+
+    (text := "# Head\n\n" + "".join(f"Sentence {i} is about {w}. " for i, w in enumerate(["rivers", "engines", "violins"] * 30)))
+    with open(folder + "/a.md", "w") as file:
+        file.write(text)
+    index.build(spark, index.KnowledgeBase("kb", folder), str(tmp_path_factory.mktemp("index")), Encoder)
+    with open(folder + "/../seen.txt") as file:
+        seen = file.read().split("\n")
+    assert "章节：Head" in seen
+
+
+def test_reports(spark, tmp_path):
+    quality = spark.createDataFrame([(2, 100.0, 1, 0, 5, 30.0, 4, 3, 2)], "parents long, parent_mean double, short_parents long, no_heading long, children long, child_mean double, short_children long, very_short_children long, split_parents long")
+    focus = spark.createDataFrame([("/a.md", 2, 5)], "file_path string, parents long, children long")
+    hits = spark.createDataFrame([(0, 1, 0.5, "a | b"), (0, 2, 0.25, None), (1, None, None, None)], "query_id int, rank int, score double, preview string")
+    text = sinks.evaluation_report(spark, quality, focus, f"file://{tmp_path}/r.md", hits)
+    assert (tmp_path / "r.md").read_text() == text and sinks.ADVICE["many_short"] in text and "| short children | 4 (80.0 %) |" in text
+    assert "- 1. (0.5000) a \\| b\n- 2. (0.2500) \n## query 1\n- no hits\n" in text
+
+
+def test_manifest_document(spark, tmp_path):
+    path = tmp_path / "m.json"
+    path.write_text('{"kb_name": "k", "embedding_dimension": 8, "skipped": [{"path": "x", "reason": "r"}],\n "files": {"a": {"mtime": 1.5, "size": 2, "parent_ids": ["p"], "child_count": 3}}, "stats": {"files": 1}}')
+    assert frames.read_manifest(spark, f"file://{path}").collect() == [("a", 1.5, 2, ["p"], 3)] and frames.read_skipped(spark, f"file://{path}").collect() == [("x", "r")]
+    assert frames.read_manifest_document(spark, f"file://{path}").first().embedding_dimension == 8
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, 'data: {"a": 1}\n\ndata: {bad\n\n: note\n\ndata: {"a": 2}\r\n\r\n'), (2, None), (3, "")], "id int, t string")
     assert [(r.id, r.a) for r in frames.parse_frames(df, "t", "a int", "id").orderBy("pos").collect()] == [(1, 1), (1, 2)]
