@@ -184,3 +184,25 @@ def error_payload(error_type: Column, message: Column, retryable: Column | None
     """The JSON of a failed tool call, with all its fields."""
     empty = F.lit("")
     return F.to_json(F.struct(F.lit(False).alias("ok"), error_type.alias("error_type"), message.alias("message"), message.alias("error"), (retryable if retryable is not None else F.lit(False)).alias("retryable"), (user_hint if user_hint is not None else message).alias("user_hint"), (operator_hint if operator_hint is not None else empty).alias("operator_hint")))
+
+
+#: Messages of bad arguments and the type of error that each is told as; any other is an invalid argument.
+ARGUMENT_ERRORS = {
+    "必须提供 file_index 或 file_path。": "invalid_argument",
+    "未找到对应的候选文件序号，请先重新搜索。": "candidate_not_found",
+    "depth 仅支持 L1、L2、L3。": "invalid_argument",
+    "candidate_source 仅支持 search_files 或 list_folder_contents。": "invalid_candidate_source",
+}
+
+
+def argument_error(message: Column | str) -> Column:
+    """The type of error of an argument message; null for null."""
+    m = col(message)
+    known = F.create_map(*[F.lit(x) for pair in ARGUMENT_ERRORS.items() for x in pair])
+    return F.when(m.isNotNull(), F.coalesce(known[m], F.lit("invalid_argument")))
+
+
+def current_time(at: Column | None = None) -> Column:
+    """A time, by default that of the query, in the session's time zone as ISO 8601 to the second, as the JSON that a tool returns."""
+    now = F.current_timestamp() if at is None else at
+    return F.to_json(F.struct(F.lit(True).alias("ok"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss").alias("current_time"), F.lit("local").alias("timezone")))

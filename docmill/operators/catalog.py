@@ -101,13 +101,31 @@ def diff(current: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, manifest: DataFrame, max_mb: int = 50, include: Sequence[str] = INCLUDE_EXT, patterns: Sequence[str] = EXCLUDE_GLOB) -> DataFrame:
-    """(path, status, reason): every file of a listing or manifest; skipped files have their reason."""
-    judged = files.withColumn("reason", skip_reason("path", "size", max_mb, include, patterns))
-    kept = suppress_duplicates(judged.where(F.col("reason").isNull()))
-    kept = kept.withColumn("reason", F.when(F.col("duplicate_of").isNotNull(), F.concat(F.lit("duplicate_higher_priority_source:"), F.col("duplicate_of"))))
-    skipped = judged.where(F.col("reason").isNotNull()).select("path", "reason").unionByName(kept.where(F.col("reason").isNotNull()).select("path", "reason"))
-    done = diff(kept.where(F.col("reason").isNull()), manifest).withColumn("reason", F.lit(None).cast("string"))
-    return done.unionByName(skipped.select("path", F.lit("skipped").alias("status"), "reason"))
+    """(path, status, reason): every file of a listing or manifest; skipped files have their reason.
+
+    A file that is skipped now and stands in the manifest is skipped and deleted. The listing is read once: duplicates are told
+    within each folder and stem, then one full join with the manifest tells the rest. Paths should be unique on each side.
+    """
+    rows = files.select("path", "mtime", "size", skip_reason("path", "size", max_mb, include, patterns).alias("reason"))
+    suffix = suffix_of("path")
+    rank = F.coalesce(F.create_map(*[F.lit(x) for k, v in PRIORITY.items() for x in (k, v)])[suffix], F.lit(0))
+    best = F.max(F.when(F.col("reason").isNull() & (rank > 0), F.struct(rank.alias("r"), suffix.alias("s")))).over(Window.partitionBy("_stem"))
+    rows = rows.withColumn("_stem", F.when(F.col("reason").isNull(), stem_of("path")).otherwise(F.col("path"))).withColumn("_best", best["s"])
+    doubled = F.when(F.col("reason").isNull() & (suffix == ".pdf") & F.col("_best").isNotNull(), F.concat(F.lit("duplicate_higher_priority_source:"), "_best"))
+    rows = rows.select("path", F.col("mtime").alias("m"), F.col("size").alias("s"), F.coalesce("reason", doubled).alias("reason"), F.lit(True).alias("here"))
+    known = manifest.where(F.col("path").isNotNull()).select("path", F.coalesce("mtime", F.lit(0)).alias("pm"), F.coalesce("size", F.lit(0)).alias("ps"), F.lit(True).alias("there"))
+    both = rows.join(known, "path", "full_outer")
+    one = lambda status, reason=F.lit(None).cast("string"): F.struct(F.lit(status).alias("status"), reason.alias("reason"))
+    told = (
+        F.when(F.col("here").isNull(), F.array(one("deleted")))
+        .when(F.col("reason").isNotNull() & F.col("there").isNotNull(), F.array(one("skipped", F.col("reason")), one("deleted")))
+        .when(F.col("reason").isNotNull(), F.array(one("skipped", F.col("reason"))))
+        .when(F.col("path").isNull(), F.array().cast("array<struct<status:string,reason:string>>"))
+        .when(F.col("there").isNull(), F.array(one("added")))
+        .when(F.col("m").eqNullSafe(F.col("pm")) & F.col("s").eqNullSafe(F.col("ps")), F.array(one("unchanged")))
+        .otherwise(F.array(one("modified")))
+    )
+    return both.select("path", F.explode(told).alias("t")).select("path", "t.status", "t.reason")
 
 
 def searchable(path: Column | str, attributes: Column | None = None) -> Column:
@@ -187,12 +205,13 @@ def ranked(hits: DataFrame, score: Column, limit: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(one)).select("rank", "name", "path", "size", "is_dir", "full_path", "score")
 
 
-def children(files: DataFrame, folder: str, limit: int = 30) -> DataFrame:
-    """The files and folders directly in a folder, folders first, then in the order of a search."""
+def children(files: DataFrame, folder: str | DataFrame, limit: int = 30) -> DataFrame:
+    """The files and folders directly in a folder, folders first, then in the order of a search. The folder is a path, or a table of one row with it as `path`."""
     full = F.concat("path", F.lit("/"), "name")
     directory = is_dir(F.col("is_dir"))
     size = F.when(directory, F.lit(0)).otherwise(F.coalesce("size", F.lit(0))).cast("long")
-    rows = files.where(F.col("path") == folder.rstrip("/\\")).select("name", "path", size.alias("size"), directory.alias("is_dir"), full.alias("full_path"))
+    rows = files.where(F.col("path") == folder.rstrip("/\\")) if isinstance(folder, str) else files.join(F.broadcast(folder.select(F.regexp_replace("path", r"[/\\]+$", "").alias("path")).limit(1)), "path", "left_semi")
+    rows = rows.select("name", "path", size.alias("size"), directory.alias("is_dir"), full.alias("full_path"))
     rows = rows.where((F.col("is_dir") | (F.col("size") != 0)) & (F.coalesce("name", F.lit("")) != "") & searchable("full_path"))
     low = F.lower("name").rlike(r"^(_|\.|~\$)")
     return ranked(rows, F.when(F.col("is_dir"), 300).otherwise(0) - F.when(low, 400).otherwise(0), limit)

@@ -62,6 +62,17 @@ def previous(df: DataFrame, values: dict[str, Column], keys: list[str], order: s
     return rows.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values])
 
 
+def latest(df: DataFrame, values: dict[str, Column], keys: list[str], order: str) -> DataFrame:
+    """df with, for each of `values`, its last value that isn't null among the rows before of the same keys, by an integer order. Sliced as in running."""
+    rows = _sliced(df.withColumns({f"_v{n}": v for n, v in values.items()}), order)
+    last = rows.groupBy(*keys, "_slice").agg(*[F.max_by(f"_v{n}", F.when(F.col(f"_v{n}").isNotNull(), F.col(order))).alias(f"_l{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*keys, "_slice", *[F.last(f"_l{n}", True).over(before).alias(f"_b{n}") for n in values])
+    within = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _join_slices(rows.withColumns({f"_w{n}": F.last(f"_v{n}", True).over(within) for n in values}), last, keys)
+    return rows.select(*df.columns, *[F.coalesce(f"_w{n}", f"_b{n}").alias(n) for n in values])
+
+
 def turns(messages: DataFrame) -> DataFrame:
     """messages with turn (number of user messages so far) and current (whether no user message follows)."""
     rows = running(messages, F.col("role") == "user", "turn", ["thread_id"], "idx")
@@ -255,30 +266,33 @@ def ai_content(blocks: Column, reasoning: Column | None = None) -> Column:
     return F.struct(joined(TEXT_KINDS).alias("text"), joined(REASONING_KINDS, *([reasoning] if reasoning is not None else [])).alias("reasoning"))
 
 
-def with_tool_results(messages: DataFrame, results: DataFrame) -> DataFrame:
-    """messages (thread_id, tools: array of structs with id) whose tools also have the last result of their id.
+def with_tool_results(messages: DataFrame, results: DataFrame, order: str = "idx") -> DataFrame:
+    """messages (thread_id, a unique order in it, tools: array of structs with id) whose tools also have the last result of their id.
 
-    The results of a thread come as one map, so a message's tools are patched where they stand.
+    Each tool is joined by thread and id, so a thread with a third of all messages is spread over its ids. Messages of equal
+    thread and order count once; null and empty tools stay as they are.
     """
     last = results.where(F.col("call_id").isNotNull()).groupBy("thread_id", "call_id").agg(F.max_by("result", "seq").alias("result"))
-    held = last.groupBy("thread_id").agg(F.map_from_entries(F.collect_list(F.struct("call_id", "result"))).alias("_held"))
-    found = lambda t: F.when(F.col("_held").isNotNull(), F.try_element_at("_held", t["id"]))
-    return messages.join(held, "thread_id", "left").withColumn("tools", F.transform("tools", lambda t: F.struct(t["id"].alias("id"), found(t).alias("result")))).drop("_held")
+    others = [c for c in messages.columns if c not in ("thread_id", order, "tools")]
+    made = messages.select("thread_id", order, F.struct(F.lit(0).alias("_"), *others).alias("_rest"), F.col("tools").isNull().alias("_none"), F.posexplode_outer("tools").alias("_pos", "_tool"))
+    made = made.join(last.withColumnRenamed("thread_id", "_thread"), (F.col("thread_id") == F.col("_thread")) & (F.col("_tool.id") == F.col("call_id")), "left")
+    tool = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col("_tool.id").alias("id"), "result"))
+    held = made.groupBy("thread_id", order).agg(F.first("_rest").alias("_rest"), F.first("_none").alias("_none"), F.sort_array(F.collect_set(tool)).alias("_tools"))
+    patched = F.when(~F.col("_none"), F.transform("_tools", lambda t: F.struct(t["id"].alias("id"), t["result"].alias("result"))))
+    return held.select("thread_id", order, *[F.col(f"_rest.{c}").alias(c) for c in others], patched.alias("tools")).select(*messages.columns)
 
 
 def pending_interrupts(events: DataFrame) -> DataFrame:
     """(thread_id, finished_seq, message_seq, token): interrupts that a finished run attaches to the last assistant message before it; null message where there is none.
 
-    An interrupt waits for the next run_finished of its thread; of several the last counts. The events of a thread are put in
-    order in one task here.
+    An interrupt waits for the next run_finished of its thread; of several the last counts. What came last before an event is
+    found by slices of a thread.
     """
-    w = in_order()
-    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
-    done = F.sum((F.col("type") == "run_finished").cast("int")).over(so_far)
-    rows = events.withColumn("_run", F.coalesce(done, F.lit(0))).withColumn("_assistant", F.last(F.when(F.col("type") == "message_start", F.col("seq")), True).over(so_far))
-    token = F.last(F.when(F.col("type") == "interrupt", F.col("token")), True).over(Window.partitionBy("thread_id", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_token", token).where((F.col("type") == "run_finished") & F.col("_token").isNotNull())
-    return rows.select("thread_id", F.col("seq").alias("finished_seq"), F.col("_assistant").alias("message_seq"), F.col("_token").alias("token"))
+    is_a = lambda t: F.col("type") == t
+    interrupt = F.when(is_a("interrupt") & F.col("token").isNotNull(), F.struct("seq", "token"))
+    rows = latest(events.select("thread_id", "seq", "type", "token"), {"_assistant": F.when(is_a("message_start"), F.col("seq")), "_finished": F.when(is_a("run_finished"), F.col("seq")), "_interrupt": interrupt}, ["thread_id"], "seq")
+    waiting = F.col("_interrupt").isNotNull() & (F.col("_finished").isNull() | (F.col("_interrupt.seq") > F.col("_finished")))
+    return rows.where(is_a("run_finished") & waiting).select("thread_id", F.col("seq").alias("finished_seq"), F.col("_assistant").alias("message_seq"), F.col("_interrupt.token").alias("token"))
 
 
 def visible(text: Column, reasoning: Column, tools: Column, interrupt: Column, status: Column, running: Column, hide_debug: Column) -> Column:
@@ -332,3 +346,20 @@ def folder_guard(source_ok: Column, candidate: Column, exists: Column, is_dir: C
 def read_guard(depth_ok: Column, given: Column, candidate_ok: Column, exists: Column, is_dir: Column, allowed: Column) -> Column:
     """The first reason why a file can't be previewed; null if it can."""
     return F.when(~depth_ok | ~given, "invalid_argument").when(~candidate_ok, "candidate_not_found").when(~exists, "file_not_found").when(is_dir, "directory_not_supported").when(~allowed, "preview_not_allowed")
+
+
+def replies_with_traces(messages: DataFrame, default: str = "") -> DataFrame:
+    """(thread_id, reply, traces, needs_confirmation): the last reply of each thread, how many tool messages its current turn has, and whether a prepared sending waits for confirmation."""
+    reply = last_reply(messages, default).select("thread_id", "reply")
+    traces = tool_calls_in_turn(messages).select("thread_id", F.col("calls").alias("traces"))
+    waiting = pending_last_send(messages).select("thread_id", F.lit(True).alias("_waits"))
+    joined = reply.join(traces, "thread_id").join(waiting, "thread_id", "left")
+    return joined.select("thread_id", "reply", "traces", F.coalesce("_waits", F.lit(False)).alias("needs_confirmation"))
+
+
+def clear_result(blocks: Column, client: Column) -> Column:
+    """struct(client_id, sources, items, pending) of the first text block (type, text) that is JSON; the client itself and zeros where a part or all of it is missing."""
+    texts = F.filter(F.coalesce(blocks, F.array()), lambda b: (b["type"] == "text") & F.try_parse_json(b["text"]).isNotNull())
+    first = F.get(texts, F.lit(0))["text"]
+    count = lambda k: F.coalesce(F.get_json_object(first, f"$.{k}").try_cast("int"), F.lit(0))
+    return F.struct(F.coalesce(F.get_json_object(first, "$.client_id"), client).alias("client_id"), count("cleared_candidate_source_count").alias("sources"), count("cleared_candidate_item_count").alias("items"), count("cleared_pending_count").alias("pending"))

@@ -55,41 +55,44 @@ def changed_paths(spark, d):
 
 # retrieval
 
-_FIRST = "(select vec_id as query_id, v as qv from vecs order by vec_id limit 1)"
+_ASKED = "(select vec_id as query_id, v as qv from vecs where vec_id % 20 = 0)"
 
 
-def _hits(spark, d, n=1, k=10):
-    vectors = fx.proper_vectors(spark, d).select("vec_id", "child_id", "parent_id", "vectors")
-    asked = vectors.orderBy("vec_id").limit(n).select(F.col("vec_id").alias("query_id"), F.col("vectors").alias("query_vector"))
-    return retrieval.top_k(vectors, asked, k, "vec_id", "vectors")
+def _hits(spark, d, k):
+    """Every vector whose id is divisible by 20 asks all vectors."""
+    vectors = fx.proper_vectors(spark, d).select("vec_id", "vectors")
+    return retrieval.top_k(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vectors").alias("query_vector")), k, "vec_id", "vectors")
 
 
-@query(f"""with {VECTORS}, {PARENTS}, d as (select vec_id, parent_id, 1 - list_cosine_similarity(qv, v) as dist from vecs, {_FIRST}), r as (select *, row_number() over (order by dist, vec_id) as rank from d order by dist, vec_id limit 10)
- select rank, vec_id, round(dist, 6) as distance, round(greatest(0.0, 1 - dist), 4) as score, coalesce({preview_sql("content", 120)}, '') as parent_preview from r left join parents using (parent_id)""")
+@query(f"""with {VECTORS}, {PARENTS}, d as (select query_id, vec_id, parent_id, 1 - list_cosine_similarity(qv, v) as dist from vecs, {_ASKED}), r as (select *, row_number() over (partition by query_id order by dist, vec_id) as rank from d)
+ select query_id, rank, vec_id, round(dist, 6) as distance, round(greatest(0.0, 1 - dist), 4) as score, coalesce({preview_sql("content", 120)}, '') as parent_preview from r left join parents using (parent_id) where rank <= 10""")
 def vector_topk_parent(spark, d):
-    hits = _hits(spark, d).join(table(spark, d, "embed_vectors").select("vec_id", "parent_id"), "vec_id").join(fx.parents(spark, d).select("parent_id", "content"), "parent_id", "left")
-    return hits.select("rank", "vec_id", F.round("distance", 6).alias("distance"), retrieval.score(F.col("distance")).alias("score"), F.coalesce(fn.preview("content", 120), F.lit("")).alias("parent_preview"))
+    hits = _hits(spark, d, 10).join(table(spark, d, "embed_vectors").select("vec_id", "parent_id"), "vec_id").join(fx.parents(spark, d).select("parent_id", "content"), "parent_id", "left")
+    return hits.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"), retrieval.score(F.col("distance")).alias("score"), F.coalesce(fn.preview("content", 120), F.lit("")).alias("parent_preview"))
 
 
-@query(f"""with {VECTORS}, {PARENTS}, q as (select vec_id as query_id, v as qv from vecs order by vec_id limit 5), r as (select query_id, parent_id, 1 - list_cosine_similarity(qv, v) as dist, vec_id,
- row_number() over (partition by query_id order by 1 - list_cosine_similarity(qv, v), vec_id) as rank from vecs, q) select query_id, rank, round(greatest(0.0, 1 - dist), 4) as score, {preview_sql("coalesce(nullif(content, ''), '')", 200)} as preview
+@query(f"""with {VECTORS}, {PARENTS}, r as (select query_id, parent_id, 1 - list_cosine_similarity(qv, v) as dist, vec_id,
+ row_number() over (partition by query_id order by 1 - list_cosine_similarity(qv, v), vec_id) as rank from vecs, {_ASKED}) select query_id, rank, round(greatest(0.0, 1 - dist), 4) as score, {preview_sql("coalesce(nullif(content, ''), '')", 200)} as preview
  from r left join parents using (parent_id) where rank <= 3""")
 def query_report(spark, d):
     chunks = table(spark, d, "embed_vectors").select("vec_id", "parent_id", F.lit("").alias("content"))
-    return retrieval.query_report(retrieval.with_parents(_hits(spark, d, 5, 5), chunks, fx.parents(spark, d), "vec_id"))
+    return retrieval.query_report(retrieval.with_parents(_hits(spark, d, 5), chunks, fx.parents(spark, d), "vec_id"))
 
 
-@query("""select cast(i as int) as rank, id, document, distance from (select scan_id, unnest(modified) as id, unnest(modified) as document, generate_subscripts(modified, 1) as i, cast(scan_id as double) as distance from scan_results) where i <= 3""")
+@query("""select cast(i as int) as rank, id, document, distance from (select scan_id, unnest(modified) as id, unnest(modified) as document, generate_subscripts(modified, 1) as i, cast(scan_id as double) as distance from scan_results)""")
 def flattened_results(spark, d):
-    first = lambda c: F.array(F.slice(c, 1, 3))
+    first = lambda c: F.array(c)
     rows = table(spark, d, "scan_results").select(first(F.col("modified")).alias("ids"), first(F.col("modified")).alias("documents"), first(F.transform("modified", lambda x: F.col("scan_id").cast("double"))).alias("distances"))
     return retrieval.flatten_result(rows)
 
 
-@query("select doc_id, list_filter([1], lambda x: true) is not null as embedded, 64 as dimension from documents where text is not null")
+@query(f"""with t as (select doc_id, ' ' || {collapse_sql('lower(text)')} || ' ' as x from documents where text is not null), g as (select doc_id, unnest(range(1, length(x) - 1)) as i, x from t), c as (select doc_id,
+ (unicode(substring(x, i, 1)) * 73856093::bigint + unicode(substring(x, i + 1, 1)) * 19349663::bigint + unicode(substring(x, i + 2, 1)) * 83492791::bigint) % 2147483629 as h from g),
+ v as (select doc_id, cast(h % 64 as int) as place, sum(case when h // 64 % 2 = 1 then 1 else -1 end) as n from c group by 1, 2), l as (select doc_id, sqrt(sum(n * n)) as len from v group by 1) select doc_id, place, round(cast(cast(n / len as float) as double), 6) as value from v join l using (doc_id) where n <> 0""")
 def hashed_embeddings(spark, d):
     rows = embedding.embed(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "text", lambda: embedding.HashingEncoder(64))
-    return rows.select("doc_id", F.col("embedding").isNotNull().alias("embedded"), F.size(embedding.checked("embedding", 64)).alias("dimension"))
+    held = rows.select("doc_id", F.posexplode(embedding.checked("embedding", 64)).alias("place", "value"))
+    return held.where("value <> 0").select("doc_id", "place", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 # catalogue
@@ -174,8 +177,7 @@ def file_search_scoped(spark, d):
  select row_number() over (order by {_ORDER}) as rank, name, path, cast(n as bigint) as size, is_dir, full_path, score from hits order by {_ORDER} limit 30""")
 def folder_listing(spark, d):
     files = fx.files(spark, d)
-    folder = files.groupBy("path").count().orderBy(F.desc("count"), "path").first()["path"]
-    return catalog.children(files, folder)
+    return catalog.children(files, files.groupBy("path").count().orderBy(F.desc("count"), "path").limit(1))
 
 
 def _size_sql(x: str) -> str:
@@ -330,9 +332,14 @@ def draft_heading_paths(spark, d):
 
 # chunks
 
-@query()
+_LISTED = r"\n(\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+|[（(]?\d+[）)]\s+|[一二三四五六七八九十]+[、.．]\s+))"
+_MARKED = "regexp_replace(regexp_replace(text, '([。！？；!?])', '\\1' || chr(1), 'g'), '([.;])" + W + "+', '\\1' || chr(1), 'g')"
+_MARKED = f"regexp_replace(regexp_replace(regexp_replace({_MARKED}, '\\n{{2,}}', chr(1), 'g'), '{_LISTED}', chr(1) || '\\1', 'g'), '{_LISTED}', chr(1) || '\\1', 'g')"
+
+
+@query(f"select doc_id, array_to_string(list_filter(list_transform(string_split({_MARKED}, chr(1)), lambda x: {strip_sql('x')}), lambda x: x <> ''), ' ¦ ') as units from documents where text is not null")
 def sentence_units(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", chunking.sentence_units("text").alias("units"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(chunking.sentence_units("text"), " ¦ ").alias("units"))
 
 
 _C = collapse_sql("content")
@@ -512,9 +519,9 @@ def payloads_ok(spark, d):
     return table(spark, d, "events").select("event_id", fn.payload_ok(raw).alias("ok"))
 
 
-@query("select event_id, 'invalid_argument' as error_type, event_type as message, event_type as user_hint, false as ok from events where event_id % 3 = 0")
+@query("select event_id, 'invalid_argument' as error_type, event_type as message, event_type as user_hint, false as ok from events")
 def error_payloads(spark, d):
-    made = table(spark, d, "events").where("event_id % 3 = 0").select("event_id", fn.error_payload(F.lit("invalid_argument"), F.col("event_type")).alias("p"))
+    made = table(spark, d, "events").select("event_id", fn.error_payload(F.lit("invalid_argument"), F.col("event_type")).alias("p"))
     get = lambda k: F.get_json_object("p", f"$.{k}").alias(k)
     return made.select("event_id", get("error_type"), get("message"), get("user_hint"), F.get_json_object("p", "$.ok").cast("boolean").alias("ok"))
 
@@ -636,11 +643,11 @@ def interrupts(spark, d):
     return msg.with_interrupts(e).select("seq", "part", "type", "expires_in")
 
 
-@query(f"""with {RUN_EVENTS}, t as (select thread_id, case seq % 97 when 0 then 'error' when 1 then 'rejected' when 2 then 'sent' when 3 then 'confirmed' when 4 then 'message_error' else 'x' end as type from run_events where seq % 5 < 2), g as (select thread_id, bool_or(type = 'error') e, bool_or(type = 'rejected') r, bool_or(type = 'sent') s, bool_or(type = 'confirmed') c, bool_or(type = 'message_error') m from t group by 1)
+@query(f"""with {RUN_EVENTS}, t as (select thread_id || ':' || seq % 31 as thread_id, case seq % 97 when 0 then 'error' when 1 then 'rejected' when 2 then 'sent' when 3 then 'confirmed' when 4 then 'message_error' else 'x' end as type from run_events), g as (select thread_id, bool_or(type = 'error') e, bool_or(type = 'rejected') r, bool_or(type = 'sent') s, bool_or(type = 'confirmed') c, bool_or(type = 'message_error') m from t group by 1)
  select thread_id, case when e then 'error' when r and s then 'error' when r then 'rejected' when c or s then 'confirmed' when m then 'error' else 'not_executed' end as status from g""")
 def resolution_status(spark, d):
     kinds = F.create_map(*[x for k, v in enumerate(("error", "rejected", "sent", "confirmed", "message_error")) for x in (F.lit(k), F.lit(v))])
-    return msg.resolution_status(fx.run_events(spark, d).where("seq % 5 < 2").select("thread_id", F.coalesce(kinds[(F.col("seq") % 97).cast("int")], F.lit("x")).alias("type")))
+    return msg.resolution_status(fx.run_events(spark, d).select(F.concat("thread_id", F.lit(":"), F.col("seq") % 31).alias("thread_id"), F.coalesce(kinds[(F.col("seq") % 97).cast("int")], F.lit("x")).alias("type")))
 
 
 @query(f"with {MESSAGES}, l as (select thread_id, arg_max(tool, idx) as tool, arg_max(ok, idx) as ok, arg_max(token, idx) as token from turned where current and role = 'tool' group by 1) select thread_id, token from l where tool = 'prepare_send' and ok")
@@ -675,17 +682,20 @@ def message_bounds(spark, d):
     return msg.message_bounds(table(spark, d, "events").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("message_id"), (F.col("event_id") % 7 == 0).alias("last")))
 
 
-@query("select doc_id, text as merged from documents where text is not null and length(text) between 1 and 190")
+@query("select doc_id, text as merged from documents where text is not null")
 def stream_delta(spark, d):
-    docs = table(spark, d, "documents").where("text is not null and length(text) between 1 and 190")
-    whole = F.array(F.substring("text", F.lit(1), F.greatest(F.lit(1), F.floor(F.length("text") / 2).cast("int"))), F.col("text"))
-    return docs.select("doc_id", msg.merged_stream(whole).alias("merged"))
+    """Texts as streams of three parts, each of which repeats up to 200 signs of what came before."""
+    n = F.length("text")
+    part = lambda a, b: F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    one, two = F.floor(n / 3), F.floor(2 * n / 3)
+    back = lambda at: F.greatest(at - 200, F.lit(0))
+    parts = F.array(part(F.lit(0), one), part(back(one), two), part(back(two), n))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", msg.merged_stream(parts).alias("merged"))
 
 
-@query(f"with {RUN_EVENTS} select seq, case when type in ('tool_call', 'tool_result') then text when type like '%\\_delta' escape '\\' then length(text) || ' chars' else text end as detail from run_events where type not in ('tool_call', 'tool_result')")
+@query(f"with {RUN_EVENTS} select seq, case when type in ('tool_call', 'tool_result') then text when type like '%\\_delta' escape '\\' then length(text) || ' chars' else text end as detail from run_events")
 def event_details(spark, d):
-    rows = fx.run_events(spark, d).where(~F.col("type").isin("tool_call", "tool_result"))
-    return rows.select("seq", msg.event_detail(F.col("type"), F.col("text"), F.col("text"), F.col("text")).alias("detail"))
+    return fx.run_events(spark, d).select("seq", msg.event_detail(F.col("type"), F.col("text"), F.col("text"), F.col("text")).alias("detail"))
 
 
 @query(f"with {RUN_EVENTS} select 'tools' as view, count(*) as n from run_events where type in ('tool_call', 'tool_result') union all select 'flow', count(*) from run_events where type = 'error' union all select 'all', count(*) from run_events")
@@ -713,9 +723,9 @@ def tool_summaries(spark, d):
     return table(spark, d, "events").select("event_id", msg.summary_of(tool, payload).alias("summary"))
 
 
-@query("select user_id, 'agent' as node, cast(row_number() over (partition by user_id order by event_id) - 1 as int) as pos, event_type as message from events where value > 30")
+@query("select user_id, 'agent' as node, cast(row_number() over (partition by user_id order by event_id) - 1 as int) as pos, event_type as message from events")
 def completed_messages(spark, d):
-    held = table(spark, d, "events").where("value > 30").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("m"))
+    held = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("m"))
     nodes = held.select(F.col("user_id").alias("run_id"), F.map_from_arrays(F.array(F.lit("agent"), F.lit("__start__")), F.array("m", "m")).alias("nodes"))
     return msg.flatten_nodes(nodes).withColumnRenamed("run_id", "user_id")
 
@@ -749,7 +759,7 @@ def patched_tools(spark, d):
     e = fx.run_events(spark, d)
     held = e.where("type = 'tool_call'").select("thread_id", "seq", F.array(F.struct(F.col("call_id").alias("id"))).alias("tools"))
     results = e.where("type = 'tool_result'").select("thread_id", "call_id", "seq", F.col("value").cast("string").alias("result"))
-    return msg.with_tool_results(held, results).select("thread_id", "seq", F.col("tools")[0]["id"].alias("id"), F.col("tools")[0]["result"].alias("result"))
+    return msg.with_tool_results(held, results, "seq").select("thread_id", "seq", F.col("tools")[0]["id"].alias("id"), F.col("tools")[0]["result"].alias("result"))
 
 
 _RUNS = "k as (select user_id as thread_id, event_id as seq, case event_type when 'view' then 'message_start' when 'purchase' then 'interrupt' when 'signup' then 'run_finished' else 'other' end as type, 't' || event_id as token from events)"
@@ -816,11 +826,38 @@ def guards(spark, d):
     return table(spark, d, "file_records").select("record_id", reading.alias("reading"), listing.alias("listing"))
 
 
-@query("select scan_id, cast(n_files > 0 as varchar) as b, status as a from scan_results where status is not null")
+@query("select scan_id, cast(n_files > 0 as varchar) as b, status as a, (n_files is not null)::int + (status is not null)::int as kept from scan_results")
 def sanitized_metadata(spark, d):
     m = F.create_map(F.lit("a"), F.col("status"), F.lit("b"), (F.col("n_files") > 0).cast("string"), F.lit("c"), F.lit(""), F.lit("d"), F.lit(None).cast("string"))
-    kept = table(spark, d, "scan_results").where("status is not null").select("scan_id", sinks.sanitized(m).alias("m"))
-    return kept.where(F.size("m") == 2).select("scan_id", F.col("m")["b"].alias("b"), F.col("m")["a"].alias("a"))
+    kept = table(spark, d, "scan_results").select("scan_id", sinks.sanitized(m).alias("m"))
+    return kept.select("scan_id", F.col("m")["b"].alias("b"), F.col("m")["a"].alias("a"), F.size("m").alias("kept"))
+
+
+@query(f"""with {MESSAGES}, l as (select thread_id, arg_max(tool, idx) as tool, arg_max(ok, idx) as ok from turned where current and role = 'tool' group by 1)
+ select thread_id, coalesce(arg_max(content, idx) filter (role = 'assistant'), '') as reply, count_if(current and role = 'tool')::bigint as traces, coalesce(bool_or(l.tool = 'prepare_send' and l.ok), false) as needs_confirmation from turned left join l using (thread_id) group by 1""")
+def replies_with_traces(spark, d):
+    return msg.replies_with_traces(fx.messages(spark, d))
+
+
+@query("""select event_id, case event_id % 4 when 0 then user_id::varchar else 'c' || (event_id % 5) end as client_id, case event_id % 4 when 1 then user_id when 2 then 0 when 3 then 7 else 0 end::int as sources, case when event_id % 4 = 1 then event_id else 0 end::int as items, 0 as pending from events""")
+def clear_results(spark, d):
+    e, n = table(spark, d, "events"), F.col("event_id")
+    name = F.concat(F.lit("c"), (n % 5).cast("string"))
+    good = F.to_json(F.struct(name.alias("client_id"), F.when(n % 4 == 1, F.col("user_id")).when(n % 4 == 3, F.lit(7)).alias("cleared_candidate_source_count"), F.when(n % 4 == 1, n).alias("cleared_candidate_item_count")))
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    blocks = F.when(n % 4 != 0, F.array(block("image", good), block("text", F.lit("no json")), block("text", good), block("text", F.lit("{}"))))
+    return e.select("event_id", msg.clear_result(blocks, F.col("user_id").cast("string")).alias("c")).select("event_id", "c.*")
+
+
+@query("select scan_id, case when status = 'failed' then 'candidate_not_found' when status = 'aborted' then 'invalid_candidate_source' when status is not null then 'invalid_argument' end as error_type from scan_results")
+def argument_errors(spark, d):
+    message = F.when(F.col("status") == "failed", "未找到对应的候选文件序号，请先重新搜索。").when(F.col("status") == "aborted", "candidate_source 仅支持 search_files 或 list_folder_contents。").when(F.col("status").isNotNull(), F.concat(F.lit("bad "), "kb_name"))
+    return table(spark, d, "scan_results").select("scan_id", fn.argument_error(message).alias("error_type"))
+
+
+@query("select scan_id, '{\"ok\":true,\"current_time\":\"' || strftime(date_trunc('second', started_at), '%Y-%m-%dT%H:%M:%S') || '\",\"timezone\":\"local\"}' as told from scan_results where started_at is not null")
+def current_times(spark, d):
+    return table(spark, d, "scan_results").where("started_at is not null").select("scan_id", fn.current_time(F.col("started_at")).alias("told"))
 
 
 def queries() -> dict[str, Query]:
