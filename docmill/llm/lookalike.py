@@ -20,6 +20,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from docmill.session import cut_lineage
+
 #: Letters of one shape, a Latin letter and its Cyrillic and Greek look-alikes.
 LETTERS = """
 A АΑ  B ВΒ  C СϹ  E ЕΕ  H НΗ  I ІΙ  J ЈͿ  K КΚ  M МΜ  N Ν  O ОΟ  P РΡ  Q Ԛ  S Ѕ  T ТΤ  W Ԝ  X ХΧ  Y ҮΥ  Z Ζ
@@ -35,7 +37,6 @@ SAME_LOOK = ((0x2E80, 0x2FDF), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFB50, 0xFD
 
 #: Joiners between pictographs, and between letters of scripts that join, do change the picture; they stay.
 _joining = regex.compile("(?<=[\\p{Extended_Pictographic}\ufe0f\U0001F3FB-\U0001F3FF])\u200d(?=\\p{Extended_Pictographic})|(?<=[\\p{Arabic}\\p{Syriac}\\p{Devanagari}\\p{Bengali}\\p{Tamil}\\p{Malayalam}\\p{Sinhala}\\p{Mongolian}]\\p{M}*)[\u200c\u200d](?=[\\p{Arabic}\\p{Syriac}\\p{Devanagari}\\p{Bengali}\\p{Tamil}\\p{Malayalam}\\p{Sinhala}\\p{Mongolian}])")
-_kept = {"\u200c": "\U000f0000", "\u200d": "\U000f0001"}  # private stand-ins while a text is rewritten
 
 
 class Classes:
@@ -97,15 +98,6 @@ def look_alikes() -> tuple[list[list[str]], dict[str, dict[str, str]]]:
     return classes.members(), scripts
 
 
-def normal(text: str) -> str:
-    """Canonical decomposition, under which an accented letter is its letter and its accents, in one order."""
-    if text.isascii():
-        return text
-    if "\u200c" in text or "\u200d" in text:
-        text = _joining.sub(lambda m: _kept[m[0]], text)
-    return unicodedata.normalize("NFD", text)
-
-
 class Rewriter:
     """Rewrites texts to the representatives. counts: how often each code point occurs in the corpus.
 
@@ -142,8 +134,18 @@ class Rewriter:
         self.back = {s: str.maketrans(own) for s, own in self.scripts.items()}
 
     def skeleton(self, text: str) -> str:
-        """The rewritten text: equal for all texts that look the same."""
-        text = normal(text)
+        """The rewritten text: equal for all texts that look the same. Joiners that stay part it, so that no other sign has to stand for them."""
+        if "\u200c" not in text and "\u200d" not in text:
+            return self._rewritten(text)
+        out, at = [], 0
+        for m in _joining.finditer(text):
+            out += [self._rewritten(text[at : m.start()]), m[0]]
+            at = m.end()
+        return "".join([*out, self._rewritten(text[at:])])
+
+    def _rewritten(self, text: str) -> str:
+        if not text.isascii():  # canonical decomposition: an accented letter is its letter and its accents, in one order
+            text = unicodedata.normalize("NFD", text)
         if self.longer and self.longer.search(text):
             out, at = [], 0
             for end, (size, best) in self.automaton.iter_long(text):
@@ -168,8 +170,6 @@ class Rewriter:
             if self.ascii_moves or votes["Cyrillic"] or votes["Greek"]:
                 skeleton = self.words.sub(one, skeleton)
             skeleton = unicodedata.normalize("NFC", skeleton)
-            for joiner, held in _kept.items():
-                skeleton = skeleton.replace(held, joiner)
         return skeleton
 
 
@@ -218,16 +218,36 @@ def unify(records: DataFrame, keys: list[str], text_col: str, with_text: bool =
     return records.select(*keys, F.col(text_col)).mapInPandas(run, schema + ", look_key binary, text_key binary, text string")
 
 
+#: Rows of a group of one look that one task joins with the rows of other spellings.
+PART = 4_096
+
+
+def look_members(unified: DataFrame, scope: str, id_col: str) -> DataFrame:
+    """(scope, id, look_key, text_key, size, links, common, parts): the records of looks with several texts.
+
+    size is the number of records of the look, links that of records with another text, common the text that most of them
+    have, parts the number of parts into which a large group is cut. One row a record, whatever the number of links. Texts are
+    rewritten once: the keys are written to the shared folder and read from there.
+    """
+    rows = cut_lineage(unified.where(F.col("look_key").isNotNull()).select(scope, id_col, "look_key", "text_key").distinct())
+    texts = rows.groupBy(scope, "look_key", "text_key").agg(F.count("*").alias("copies"))
+    groups = texts.groupBy(scope, "look_key").agg(F.sum("copies").alias("size"), F.count("*").alias("_texts"), F.max(F.struct("copies", "text_key"))["text_key"].alias("common")).where(F.col("_texts") > 1).drop("_texts")
+    counted = texts.join(groups, [scope, "look_key"])
+    members = rows.join(counted, [scope, "look_key", "text_key"])
+    return members.select(scope, id_col, "look_key", "text_key", "size", (F.col("size") - F.col("copies")).alias("links"), "common", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+
+
 def same_look_pairs(unified: DataFrame, scope: str, id_col: str) -> DataFrame:
     """(scope, a_id, b_id): pairs of records of one scope with equal look and different texts, the smaller id first.
 
-    Groups of exact copies are dropped before the join: only looks with at least two different texts go on, so a text that a
-    third of all rows share costs nothing unless it also occurs in another spelling. Records without visible text give none.
+    Groups of exact copies take no part: only looks with several texts go on. The records of a look are cut into parts of
+    about PART, and each part meets the records of the rarer spellings only, so a text that a third of all rows share and one
+    variant cost one pass over these rows. Records without visible text give none. look_members() is the form of bounded size.
     """
-    rows = unified.where(F.col("look_key").isNotNull()).select(scope, id_col, "look_key", "text_key")
-    mixed = rows.groupBy(scope, "look_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi")
-    kept = rows.join(mixed.select(scope, "look_key"), [scope, "look_key"], "left_semi").distinct()
-    a = kept.select(scope, "look_key", F.col(id_col).alias("a_id"), F.col("text_key").alias("a_text"))
-    b = kept.select(scope, "look_key", F.col(id_col).alias("b_id"), F.col("text_key").alias("b_text"))
-    pairs = a.join(b, [scope, "look_key"]).where((F.col("a_text") != F.col("b_text")) & (F.col("a_id") < F.col("b_id")))
-    return pairs.select(scope, "a_id", "b_id").distinct()
+    held = look_members(unified, scope, id_col)
+    part = F.pmod(F.xxhash64(id_col), "parts").cast("int")
+    a = held.select(scope, "look_key", part.alias("part"), F.col(id_col).alias("x"), F.col("text_key").alias("x_text"), (F.col("text_key") == F.col("common")).alias("x_common"))
+    rarer = held.where(F.col("text_key") != F.col("common"))
+    b = rarer.select(scope, "look_key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col(id_col).alias("y"), F.col("text_key").alias("y_text"))
+    pairs = a.join(b, [scope, "look_key", "part"]).where((F.col("x_text") != F.col("y_text")) & (F.col("x_common") | (F.col("x") < F.col("y"))))
+    return pairs.where(F.col("x") != F.col("y")).select(scope, F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).distinct()
