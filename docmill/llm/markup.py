@@ -3,12 +3,15 @@
 A text is parsed into one tree, whatever markups it mixes: line constructs (headings, lists, quotes, tables, fences,
 environments) and HTML elements become containers, the rest paragraphs. Paragraphs then pass points for their length and
 commas to their ancestors, discounted by the share of linked text; the best container and its siblings of some worth are
-kept and written out as plain text. Every construct recognised on the way is counted: a text without any is no case.
+kept and written out as plain text. Every node knows how many constructs of markup it was made of: a text whose tree has none
+is no case.
 """
 
 from __future__ import annotations
 
 import html
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,8 +52,8 @@ _section = regex.compile(r"^[ \t]*\\(part|chapter|section|subsection|subsubsecti
 _comment = regex.compile(r"^[ \t]*%+[ \t]?\S.*$|^%+$")
 _display = regex.compile(r"^[ \t]*(?:\$\$(.+?)\$\$|\\\[(.+?)\\\])[ \t]*$")
 _macro_line = regex.compile(rf"^[ \t]*\{{(?:{MACROS})(?:[:=|][^{{}}]*)?\}}[ \t]*$", regex.I)
-_macro_pair = regex.compile(rf"\{{({MACROS})(?:[:=|][^{{}}]*)?\}}(.*?)\{{\1\}}", regex.I | regex.S)
-_macro = regex.compile(rf"\{{(?:{MACROS})(?:[:=|][^{{}}]*)?\}}", regex.I)
+_macro_pair = regex.compile(rf"(?<!\\[A-Za-z]{{1,20}}\*?)\{{({MACROS})(?:[:=|][^{{}}]*)?\}}(.*?)\{{\1\}}", regex.I | regex.S)
+_macro = regex.compile(rf"(?<!\\[A-Za-z]{{1,20}}\*?)\{{(?:{MACROS})(?:[:=|][^{{}}]*)?\}}", regex.I)
 _switch = regex.compile(r"__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NOINDEX|INDEX)__|\[TOC\]|\[\[_TOC_\]\]", regex.I)
 _target = r"(?:[^\s()<>\[\]|]|\([^\s()]*\))"
 #: Inline constructs: (pattern, what stays, whether the kept text is linked). Applied in this order.
@@ -100,17 +103,16 @@ class Node:
     text: str = ""
     children: list[Node] = field(default_factory=list)
     linked: int = 0
+    marks: int = 0
+    items: int = 0
     score: float = 0.0
-
-    def length(self) -> int:
-        return len(self.text) + sum(c.length() for c in self.children)
-
-    def links(self) -> int:
-        return self.linked + sum(c.links() for c in self.children)
+    points: float = 0.0
+    size: int = 0
+    links: int = 0
 
     def density(self) -> float:
-        """Share of linked text."""
-        return self.links() / max(1, self.length())
+        """Share of linked text, once size and links are summed up."""
+        return self.links / max(1, self.size)
 
 
 def _template(source: str) -> str:
@@ -141,8 +143,15 @@ class Parser:
     """Builds the tree of one text and counts its markup."""
 
     def __init__(self) -> None:
-        self.marks = 0
+        self.marks = self.given = 0
         self.linked = 0
+        self.depth = 0
+
+    def add(self, parent: Node, node: Node) -> Node:
+        """Hangs a node into the tree; it takes the constructs that were recognised since the node before."""
+        node.marks, self.given = self.marks - self.given, self.marks
+        parent.children.append(node)
+        return node
 
     def inline(self, text: str) -> str:
         """A run of text without its inline markup; linked signs are counted."""
@@ -150,11 +159,12 @@ class Parser:
         if not _special.search(text):
             return text
         held: list[str] = []
+        free = [c for c in _stand_ins if c not in text] if _formula.search(text) else []
 
         def keep(m: regex.Match) -> str:
             self.marks += 1
             held.append(formula(next(g for g in m.groups() if g is not None)))
-            return f"\uf8f0{len(held) - 1}\uf8f1"
+            return f"{free[0]}{len(held) - 1}{free[1]}" if len(free) > 1 else held[-1]
 
         text = _formula.sub(keep, text)
         for pattern, stays, is_link in _inline:
@@ -177,8 +187,8 @@ class Parser:
             for pattern, stays in ((_bare_command, ""), (_line_break, ""), (_escape, r"\1")):
                 text, n = pattern.subn(stays, text)
                 self.marks += n
-        if held:
-            text = regex.sub("\uf8f0(\\d+)\uf8f1", lambda m: held[int(m[1])], text)
+        if held and len(free) > 1:
+            text = regex.sub(f"{free[0]}(\\d+){free[1]}", lambda m: held[int(m[1])], text)
         return text
 
     def entities(self, text: str) -> str:
@@ -197,34 +207,44 @@ class Parser:
         """Markdown, wiki and LaTeX line constructs under root."""
         lines = text.split("\n")
         i, para = 0, []
+        endless: set[str] = set()  # fences that nothing closes further on
+        last_end = {m[1].rstrip("*"): j for j, line in enumerate(lines) if "\\end" in line and (m := _end.match(line))}
 
         def flush() -> None:
             if para:
                 clean = self.inline("\n".join(para))
-                root.children.append(Node("p", text=clean, linked=self.linked))
+                self.add(root, Node("p", text=clean, linked=self.linked))
                 para.clear()
 
         def leaf(kind: str, source: str, level: int = 0) -> None:
             flush()
             self.marks += 1
             clean = self.inline(source)
-            root.children.append(Node(kind, level, clean, linked=self.linked))
+            self.add(root, Node(kind, level, clean, linked=self.linked))
 
         while i < len(lines):
             line = lines[i]
             if not line.strip():
                 flush()
-                root.children.append(Node("gap"))
+                self.add(root, Node("gap"))
             elif m := _fence.match(line):
-                end = next((j for j in range(i + 1, len(lines)) if lines[j].strip() == m[1] or lines[j].strip().startswith(m[1]) and not lines[j].strip().strip(m[1][0])), None)
+                closes = lambda j: lines[j].lstrip().startswith(m[1]) and not lines[j].strip().strip(m[1][0])  # noqa: E731,B023
+                end = None if m[1] in endless else next((j for j in range(i + 1, len(lines)) if closes(j)), None)
+                if end is None:
+                    endless.add(m[1])
                 flush()
                 self.marks += 1
                 if end is not None:
-                    root.children.append(Node("code", text="\n".join(lines[i + 1 : end])))
+                    self.add(root, Node("code", text="\n".join(lines[i + 1 : end])))
                     i = end
             elif (m := _begin.match(line)) is not None:
                 flush()
-                i = self.environment(lines, i, m[1].rstrip("*"), root)
+                if last_end.get(m[1].rstrip("*"), -1) > i and self.depth < DEEPEST:
+                    self.depth += 1
+                    i = self.environment(lines, i, m[1].rstrip("*"), root)
+                    self.depth -= 1
+                else:  # without its end it takes nothing with it
+                    self.marks += 1
             elif _end.match(line) or _macro_line.match(line) or _comment.match(line):
                 flush()
                 self.marks += 1
@@ -235,7 +255,7 @@ class Parser:
             elif m := _display.match(line):
                 flush()
                 self.marks += 1
-                root.children.append(Node("formula", text=formula(m[1] or m[2])))
+                self.add(root, Node("formula", text=formula(m[1] or m[2])))
             elif _wiki_open.match(line):
                 flush()
                 i = self.wiki_table(lines, i, root)
@@ -258,7 +278,7 @@ class Parser:
                 flush()
                 self.marks += 1
                 cells = [self.inline(c.strip()) for c in m[1].split("|")]
-                root.children.append(Node("row", text="\t".join(cells)))
+                self.add(root, Node("row", text="\t".join(cells)))
             elif m := _task.match(line):
                 leaf("item", m[3], len(m[1].expandtabs(4)) // 2 + 1)
             elif m := _bullet.match(line):
@@ -267,17 +287,23 @@ class Parser:
                 flush()
                 self.marks += 1
                 clean = self.inline(m[3])
-                root.children.append(Node("number", len(m[1].expandtabs(4)) // 2 + 1, clean, linked=self.linked))
+                self.add(root, Node("number", len(m[1].expandtabs(4)) // 2 + 1, clean, linked=self.linked))
             elif m := _quote.match(line):
                 flush()
                 self.marks += 1
-                body = Node("quote")
-                self.lines(m[2], body)
-                root.children.append(body)
+                body = self.add(root, Node("quote"))
+                if self.depth < DEEPEST:
+                    self.depth += 1
+                    self.lines(m[2], body)
+                    self.depth -= 1
+                else:
+                    self.add(body, Node("p", text=self.inline(m[2])))
             else:
                 para.append(line)
             i += 1
         flush()
+        if self.marks > self.given:
+            self.add(root, Node("gap"))
 
     def environment(self, lines: list[str], i: int, name: str, root: Node) -> int:
         """A LaTeX environment from line i; returns its last line."""
@@ -294,15 +320,15 @@ class Parser:
                 body.append(lines[j])
         text = "\n".join(body)
         if name in {"verbatim", "lstlisting", "minted", "alltt", "Verbatim"}:
-            root.children.append(Node("code", text=text))
+            self.add(root, Node("code", text=text))
         elif name in {"equation", "align", "displaymath", "math", "gather", "eqnarray", "multline"}:
-            root.children.append(Node("formula", text=formula(text)))
+            self.add(root, Node("formula", text=formula(text)))
         elif name in {"tabular", "tabularx", "longtable", "array"}:
             table = Node("table")
             for row in regex.split(r"\\\\(?:\[[^\]]*\])?", regex.sub(r"\\(?:hline|toprule|midrule|bottomrule)\b", "", text)):
                 if row.strip():
-                    table.children.append(Node("row", text="\t".join(self.inline(c.strip()).strip() for c in regex.split(r"(?<!\\)&", row))))
-            root.children.append(table)
+                    self.add(table, Node("row", text="\t".join(self.inline(c.strip()).strip() for c in regex.split(r"(?<!\\)&", row))))
+            self.add(root, table)
         elif name in {"itemize", "enumerate", "description"}:
             inner = Node("list")
             items = regex.split(r"(?m)^[ \t]*\\item(?![A-Za-z])(?:\[([^\]\n]*)\])?[ \t]*", text)
@@ -311,12 +337,12 @@ class Parser:
             for k, (label, item) in enumerate(zip(items[1::2], items[2::2])):
                 part = Node("li" if name != "enumerate" else "ol", level=k + 1)
                 self.lines(((label + ": ") if label else "") + item.strip("\n"), part)
-                inner.children.append(part)
-            root.children.append(inner)
+                self.add(inner, part)
+            self.add(root, inner)
         else:
             inner = Node("quote" if name in {"quote", "quotation", "verse"} else "div")
             self.lines(text, inner)
-            root.children.append(inner)
+            self.add(root, inner)
         return j
 
     def wiki_table(self, lines: list[str], i: int, root: Node) -> int:
@@ -335,16 +361,16 @@ class Parser:
                 continue
             if m[1] == "|-":
                 if cells:
-                    table.children.append(Node("row", text="\t".join(cells)))
+                    self.add(table, Node("row", text="\t".join(cells)))
                 cells = []
             elif m[1] == "|+":
-                table.children.append(Node("p", text=self.inline(m[2].strip())))
+                self.add(table, Node("p", text=self.inline(m[2].strip())))
             else:
                 for cell in regex.split(r"\|\||!!", m[2]):
                     cells.append(self.inline(regex.sub(r"^[^|\[\]{}]*=[^|]*\|(?!\|)", "", cell).strip()))
         if cells:
-            table.children.append(Node("row", text="\t".join(cells)))
-        root.children.append(table)
+            self.add(table, Node("row", text="\t".join(cells)))
+        self.add(root, table)
         return j
 
     # elements
@@ -361,14 +387,26 @@ class Parser:
             text = text[: cut.start()] + text[cut.end() :]
         if "<" not in text and "-->" not in text and "]]>" not in text:
             self.lines(self.entities(text) if _entity.search(text) else text, root)
+            root.marks += self.marks - self.given
             return root
 
         link_start: list[int] = []
+        held = 0  # signs in the buffer
+
+        def put(part: str) -> None:
+            nonlocal held
+            buffer.append(part)
+            held += len(part)
+
+        def taken() -> str:
+            nonlocal held
+            source, held = "".join(buffer), 0
+            buffer.clear()
+            return source
 
         def flush() -> None:
             if buffer:
-                source = "".join(buffer)
-                buffer.clear()
+                source = taken()
                 top = stack[-1][1]
                 if top.kind == "code":
                     top.text += self.entities(source)
@@ -379,33 +417,41 @@ class Parser:
                     if linked and len(top.children) > before:
                         top.children[-1].linked += linked
                 elif "\n" in source and top.kind not in {"list", "table", "tbody", "thead", "row"}:
-                    top.children.append(Node("gap"))
+                    self.add(top, Node("gap"))
                 self.linked_text = 0
 
         self.linked_text = 0
         fences = self._code_spans(text)
-        at = 0
+        at = fence = 0
         raw_until = None
-        for m in _tag.finditer(text):
-            if m.start() < at or any(a <= m.start() < b for a, b in fences):
+        tags = list(_tag.finditer(text))
+        ends: dict[str, list[int]] = {}  # where elements close
+        for m in tags:
+            if m[1]:
+                ends.setdefault(m[2].lower(), []).append(m.start())
+        closes_later = lambda name: name in ends and ends[name][-1] >= at
+        open_now: Counter[str] = Counter()
+        for m in tags:
+            while fence < len(fences) and fences[fence][1] <= m.start():
+                fence += 1
+            if m.start() < at or fence < len(fences) and fences[fence][0] <= m.start():
                 continue
             name = (m[2] or "").lower()
             if m[2] and name not in BLOCK_TAGS and name not in INLINE_TAGS:
                 continue
             if raw_until and not (m[1] and name == raw_until):
                 continue
-            buffer.append(text[at : m.start()])
+            put(text[at : m.start()])
             at = m.end()
             self.marks += 1
             if not m[2]:
                 continue
             if raw_until:
                 if raw_until in DROPPED_TAGS:
-                    buffer.clear()
+                    taken()
                 elif raw_until == "math":
-                    source = "".join(buffer)
-                    buffer.clear()
-                    stack[-1][1].children.append(Node("formula", text=formula(self.entities(source))))
+                    source = taken()
+                    self.add(stack[-1][1], Node("formula", text=formula(self.entities(source))))
                 else:
                     flush()
                     stack.pop()
@@ -413,54 +459,57 @@ class Parser:
                 continue
             closing, void = bool(m[1]), name in VOID_TAGS and name != "source" or m[3].rstrip().endswith("/")
             if name in DROPPED_TAGS or name == "math":
-                if not closing and not void and regex.search(rf"</{name}\s*>", text[at:], regex.I):
+                if not closing and not void and closes_later(name):
                     flush()
                     raw_until = name
             elif name in {"pre", "syntaxhighlight", "source"}:
-                if not closing and regex.search(rf"</{name}\s*>", text[at:], regex.I):
+                if not closing and closes_later(name):
                     flush()
                     node = Node("code")
-                    stack[-1][1].children.append(node)
+                    self.add(stack[-1][1], node)
                     stack.append((name, node))
             elif name == "a":
                 if closing and link_start:
-                    self.linked_text += max(0, sum(map(len, buffer)) - link_start.pop())
+                    self.linked_text += max(0, held - link_start.pop())
                 elif not closing:
-                    link_start.append(sum(map(len, buffer)))
+                    link_start.append(held)
             elif name == "ref":
-                if not closing and not void and (e := regex.search(r"</ref\s*>", text[at:], regex.I)):
-                    at += e.end()
+                if not closing and not void and closes_later("ref"):
+                    at = text.index(">", ends["ref"][bisect_left(ends["ref"], at)]) + 1
             elif name == "br":
-                buffer.append("\n" if stack[-1][1].kind != "row" else " ")
+                put("\n" if stack[-1][1].kind != "row" else " ")
             elif name in {"td", "th"}:
                 if closing:
-                    buffer.append("\t")
+                    put("\t")
             elif name in BLOCK_TAGS:
                 if stack[-1][1].kind == "row":
-                    stack[-1][1].text += self.inline(self.entities("".join(buffer))).strip().replace("\t ", "\t")
-                    buffer.clear()
+                    stack[-1][1].text += self.inline(self.entities(taken())).strip().replace("\t ", "\t")
                 else:
                     flush()
                 if closing:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
+                    while open_now[name]:
+                        popped = stack.pop()[0]
+                        open_now[popped] -= 1
+                        if popped == name:
                             break
                 elif not void:
                     if name in {"p", "li", "tr", "dt", "dd"} and stack[-1][0] in ({"p"} if name == "p" else {name, "p"}):
-                        stack.pop()
+                        open_now[stack.pop()[0]] -= 1
                     kind = {"ul": "list", "ol": "list", "dl": "list", "tr": "row", "blockquote": "quote"}.get(name, "h" if regex.fullmatch(r"h[1-6]", name) else name)
                     node = Node(kind, int(name[1]) if kind == "h" else 0)
                     if name == "li":
                         ordered = next((n for n, _ in reversed(stack) if n in {"ul", "ol"}), "ul") == "ol"
-                        node = Node("ol" if ordered else "li", level=1 + sum(c.kind in {"li", "ol"} for c in stack[-1][1].children))
-                    stack[-1][1].children.append(node)
-                    stack.append((name, node))
-        buffer.append(text[at:])
+                        node = Node("ol" if ordered else "li", level=1 + stack[-1][1].items)
+                        stack[-1][1].items += 1
+                    self.add(stack[-1][1], node)
+                    if len(stack) <= DEEPEST:  # deeper ones stand beside each other
+                        stack.append((name, node))
+                        open_now[name] += 1
+        put(text[at:])
         if stack[-1][1].kind == "row":
-            stack[-1][1].text += self.inline(self.entities("".join(buffer))).strip()
-            buffer.clear()
+            stack[-1][1].text += self.inline(self.entities(taken())).strip()
         flush()
+        root.marks += self.marks - self.given
         return root
 
     @staticmethod
@@ -469,46 +518,67 @@ class Parser:
         return [m.span() for m in regex.finditer(r"(?ms)^[ \t]*(```+|~~~+)[^\n]*\n.*?^[ \t]*\1[ \t]*$|^\\begin\{(?:verbatim|lstlisting)\}.*?^\\end\{(?:verbatim|lstlisting)\}", text)]
 
 
+#: Noncharacters that stand for formulas while a text is worked on; those that the text itself holds are not used.
+_stand_ins = [chr(c) for c in range(0xFDD0, 0xFDF0)]
+#: Containers within containers from which on their lines are taken as paragraphs.
+DEEPEST = 40
 _atx_tail = regex.compile(r"\S[ \t]+#+[ \t]*$")
 _special = regex.compile(r"[*_~`\[\]{}\\$]|''|<")
 
 
-def rate(node: Node, above: list[Node]) -> None:
-    """Paragraphs pass points up: one, one a comma, one a hundred signs (three at most), less the share of linked text; whole to the parent, halves and thirds further up."""
-    if not node.children:
-        size = len(node.text)
-        if node.kind not in {"gap"} and size:
-            points = 1 + len(_commas.findall(node.text)) + min(3, size / 100)
+#: Points from which a sibling is worth keeping, and its share of the best container's.
+WORTH, SHARE = 0.5, 0.2
+
+
+def rate(root: Node) -> int:
+    """Paragraphs pass points up: one, one a comma, one a hundred signs (three at most), less the share of linked text; whole to the parent, halves and thirds further up. Returns the constructs of markup in the tree."""
+    order, stack = [], [(root, ())]
+    while stack:
+        node, above = stack.pop()
+        order.append((node, above))
+        stack += [(c, (*above, node)) for c in node.children]
+    marks = 0
+    for node, above in reversed(order):  # children before parents
+        marks += node.marks
+        node.size = len(node.text) + sum(c.size for c in node.children)
+        node.links = node.linked + sum(c.links for c in node.children)
+        node.points += sum(c.points for c in node.children)
+        if not node.children and node.kind != "gap" and node.text:
+            points = 1 + len(_commas.findall(node.text)) + min(3, node.size / 100)
             if node.kind in {"code", "formula", "h", "row"}:
                 points += 2
-            points *= 1 - node.density()
+            node.points = points * (1 - node.density())
             for steps, parent in enumerate(reversed(above)):
-                parent.score += points / (1 if steps == 0 else 2 * steps)
-    for child in node.children:
-        rate(child, [*above, node])
+                parent.score += node.points / (1 if steps == 0 else 2 * steps)
+    return marks
 
 
 def best_part(root: Node) -> list[Node]:
-    """The best container and those siblings, up to the root, that are worth keeping: anything with text that isn't mostly links."""
-    best, queue = root, [root]
-    while queue:
-        node = queue.pop()
+    """The container with most points, and beside it and beside each container around it the siblings that are worth keeping: those with points of their own (links hardly have any), and headings, code, formulas and tables."""
+    best, stack, around = root, [(root, ())], ()
+    while stack:
+        node, above = stack.pop()
         if node.children and node.score * (1 - node.density()) > best.score * (1 - best.density()):
-            best = node
-        queue += node.children
-    worth = lambda n: n is best or _holds(n, best) or n.kind in {"gap", "h", "code", "formula", "row", "table"} or n.density() < 0.5 or n.score >= 0.2 * best.score
-    kept = [n for n in root.children if worth(n)]
-    return kept or root.children
-
-
-def _holds(node: Node, part: Node) -> bool:
-    return any(c is part or _holds(c, part) for c in node.children)
+            best, around = node, above
+        stack += [(c, (*above, node)) for c in node.children]
+    enough = min(WORTH, SHARE * best.score)
+    chain = {id(n) for n in (*around, best)}
+    worth = lambda n: id(n) in chain or n.kind in {"gap", "h", "code", "formula", "row", "table"} or n.points >= enough
+    for node in around or ((best,) if best is root else ()):
+        kept = [n for n in node.children if worth(n)]
+        node.children = kept if any(n.kind != "gap" for n in kept) else node.children
+    return root.children
 
 
 def write(nodes: list[Node], depth: int = 0) -> list[str]:
     """Plain lines: headings stand alone, items have a dash or number, rows tabs, code keeps its blanks."""
     out: list[str] = []
+    numbered = 0  # numbered lines that end the output
+    seen = 0
     for n in nodes:
+        for line in out[seen:]:
+            numbered = numbered + 1 if _number_line.match(line) else 0
+        seen = len(out)
         if n.kind == "gap":
             if out and out[-1]:
                 out.append("")
@@ -529,7 +599,7 @@ def write(nodes: list[Node], depth: int = 0) -> list[str]:
         elif n.kind in {"item", "number", "li", "ol"}:
             body = [x for x in [*(n.text.split("\n") if n.text else []), *write(n.children, depth)] if x.strip()]
             level = n.level if n.kind in {"item", "number"} else max(1, depth)
-            sign = "- " if n.kind in {"item", "li"} else f"{n.level if n.kind == 'ol' else 1 + _run(out)}. "
+            sign = "- " if n.kind in {"item", "li"} else f"{n.level if n.kind == 'ol' else 1 + numbered}. "
             if body:
                 out.append("  " * (level - 1) + sign + body[0].strip())
                 out += ["  " * level + x.strip() if not x.lstrip().startswith(("- ",)) else x for x in body[1:]]
@@ -540,23 +610,17 @@ def write(nodes: list[Node], depth: int = 0) -> list[str]:
     return out
 
 
-def _run(out: list[str]) -> int:
-    """How many numbered lines end the output."""
-    n = 0
-    while n < len(out) and regex.match(r"\s*\d+\. ", out[-1 - n]):
-        n += 1
-    return n
+_number_line = regex.compile(r"\s*\d+\. ")
 
 
 def clean(text: str) -> tuple[str, int]:
     """(clean text, number of markup constructs). A text without markup comes back as it is."""
-    parser = Parser()
-    root = parser.parse(text)
-    if not parser.marks:
+    root = Parser().parse(text)
+    marks = rate(root)
+    if not marks:
         return text, 0
-    rate(root, [])
     lines = write(best_part(root))
-    return regex.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n"), parser.marks
+    return regex.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n"), marks
 
 
 def strip_markup(docs: DataFrame, keys: list[str], text_col: str) -> DataFrame:
