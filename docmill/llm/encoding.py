@@ -75,6 +75,7 @@ class Bigrams:
         self.logs = np.log(np.maximum(counts, 0.2) / max(total, 1)).astype(np.float32)
         self.usual = max(USUAL, float(np.log(5 / max(total, 1))))  # five times are usual in the smallest corpus only
         self.memo: dict[str, float | bool | None] = {}
+        self.pieces: dict[tuple, list] = {}
         self.steps: np.ndarray | None = None
         self.least: float | None = None
 
@@ -87,7 +88,7 @@ class Bigrams:
         """The table on a worker."""
         own = cls.__new__(cls)
         own.logs, own.usual = held
-        own.memo, own.steps, own.least = {}, None, None
+        own.memo, own.pieces, own.steps, own.least = {}, {}, None, None
         return own
 
     def without(self, counts: np.ndarray) -> Bigrams:
@@ -316,6 +317,7 @@ _box = re.compile("[\u2550-\u256c\u2580-\u2593]")
 _han = re.compile("[\u2000-\u206f\u2e80-\ud7ff\uff00-\uffef\ue000-\uf8ff\u0370-\u04ff\u2190-\u27ff]*[\u3100-\u9fff\ue000-\uf8ff][\u2000-\u206f\u2e80-\ud7ff\uff00-\uffef\ue000-\uf8ff\u0370-\u04ff\u2190-\u27ff]*")
 _runs = re.compile("[^\x00-\x7f]{2,}")
 _boxed, _one_cyrillic = re.compile("[\u2500-\u25a0]"), re.compile("[\u0400-\u045f]")
+_wide = re.compile("[\u3000-\u9fff\uac00-\ud7a3\uff00-\uffef]")
 _far_east = re.compile("[\u3100-\u9fff]")
 
 
@@ -378,14 +380,27 @@ def _lone_han(text: str, out: list[Reading]) -> list[Reading]:
 
 
 def _single(text: str, start: int, end: int, seen: tuple[str, ...], means: Means, out: list[Reading]) -> None:
-    """Readings of a piece with one or two bytes a letter. A piece of usual bigrams is read only where that is likelier still."""
+    """Adds the readings of a piece with one or two bytes a letter. They depend on the piece and the signs beside it, so equal ones are read once a task."""
+    memo = means.bigrams.pieces
+    context = text[start - 1 : start] or "\n", text[start:end], text[end : end + 1] or "\n", seen
+    held = memo.get(context)
+    if held is None:
+        if len(memo) > 100_000:
+            memo.clear()
+        held = memo[context] = _read_single(text, start, end, seen, means)
+    out += [Reading(start + a, start + b, swap, said) for a, b, swap, said in held]
+
+
+def _read_single(text: str, start: int, end: int, seen: tuple[str, ...], means: Means) -> list[tuple[int, int, str, str]]:
+    """(start, end, swap, said) within the piece. A piece of usual bigrams is read only where that is likelier still."""
     piece = text[start:end]
+    out: list[tuple[int, int, str, str]] = []
     usual = means.of(start, end) > means.bigrams.usual
     known = means.bigrams.likelier(means.codes[start : end + 2]) if usual and seen is CYRILLIC else None
 
-    def add(r: Reading) -> None:
-        if not usual or gain(text, r, means.bigrams) > 0:
-            out.append(r)
+    def add(a: int, b: int, swap: str, said: str) -> None:
+        if not usual or gain(text, Reading(start + a, start + b, swap, said), means.bigrams) > 0:
+            out.append((a, b, swap, said))
 
     for name in seen:
         try:
@@ -398,7 +413,7 @@ def _single(text: str, start: int, end: int, seen: tuple[str, ...], means: Means
             said = held.decode(written, "replace")
             small = sum(map(str.islower, said))
             if small >= 0.5 * len(said.replace(" ", "")) and said != piece and ("\xa0" not in said or "\xa0" in piece):
-                add(Reading(start, end, f"{written}>{name}", said))
+                add(0, end - start, f"{written}>{name}", said)
         if name in ("cp1252", "mac_roman", "cp1251", "koi8_r", "cp437"):
             for written in DOUBLE:
                 for skip in (0, 1):  # the piece may begin with a sign of its own
@@ -407,11 +422,13 @@ def _single(text: str, start: int, end: int, seen: tuple[str, ...], means: Means
                         said = held[skip:whole].decode(written)
                     except UnicodeError:
                         continue
+                    if not said or len(_wide.findall(said)) < 0.8 * len(said):
+                        continue
                     if usual and sum(map(means.bigrams.met, said)) < 0.5 * len(said):
                         continue  # signs that the corpus never has are not likelier than usual bigrams
-                    if said and sum("\u3000" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" or "\uff00" <= c <= "\uffef" for c in said) >= 0.8 * len(said):
-                        add(Reading(start + skip, start + whole, f"{written}>{name}", said))
-                        break
+                    add(skip, whole, f"{written}>{name}", said)
+                    break
+    return out
 
 
 def gain(text: str, r: Reading, bigrams: Bigrams) -> float:
