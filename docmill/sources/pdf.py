@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Most bytes of a stream after inflation.
+#: Most bytes of a stream after inflation; a file with a larger one is an error, not cut.
 MOST_BYTES = 64 * 1024 * 1024
 _token = re.compile(rb"<<|>>|\[|\]|/[^\s/<>\[\](){}%]*|<[0-9A-Fa-f\s]*>|\(|[^\s/<>\[\](){}%]+|%[^\r\n]*")
 _object = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
@@ -139,7 +139,10 @@ class File:
         for f in filters if isinstance(filters, list) else [filters]:
             if f != "FlateDecode":
                 return b""
-            body = zlib.decompressobj().decompress(body, MOST_BYTES)
+            inflater = zlib.decompressobj()
+            body = inflater.decompress(body, MOST_BYTES)
+            if inflater.unconsumed_tail:
+                raise ValueError(f"a stream holds more than {MOST_BYTES} bytes")
         parms = self.get(head.get("DecodeParms"))
         parms = self.get(parms[0]) if isinstance(parms, list) and parms else parms
         if isinstance(parms, dict) and int(parms.get("Predictor", 1)) >= 10:

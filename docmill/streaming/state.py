@@ -14,29 +14,43 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docmill.operators.registry import SOURCES, VALID_SECONDS
 
-CANDIDATES = "client string, source string, seq long, count int"
+CANDIDATES = "client string, source string, seq long, count int, results array<string>"
 
 
-def candidate_stream(events: DataFrame) -> DataFrame:
-    """(client, source, seq, count) after each micro-batch, for the clients that it touched.
+def _timeout(idle_ms: int | None) -> str:
+    """Timeouts by the clock keep a query with the trigger availableNow from ending, so they are asked for."""
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def candidate_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(client, source, seq, count, results) after each micro-batch, for the clients that it touched; results can be looked up by index.
 
     events: client, source, seq, ok, results (array<string>), cleared. State: one list a source and client, keyed by client.
-    A failed search clears its list, a failed folder listing leaves it, a cleared client loses all.
+    A failed search clears its list, a failed folder listing leaves it, a cleared client loses all. A client without lists
+    has no state, and one that is idle for idle_ms, if given, loses it.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = json.loads(state.get[0]) if state.exists else {}
         for r in sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.seq):
             if r.cleared:
                 held = {}
             elif r.source in SOURCES and r.ok:
-                held[r.source] = [int(r.seq), len(r.results) if r.results is not None else 0]
+                held[r.source] = [int(r.seq), [str(x) for x in r.results] if r.results is not None else []]
             elif r.source == SOURCES[0]:
                 held.pop(r.source, None)
-        state.update((json.dumps(held),))
-        yield pd.DataFrame([(key[0], s, q, n) for s, (q, n) in sorted(held.items())], columns=["client", "source", "seq", "count"])
+        if held:
+            state.update((json.dumps(held),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], s, q, len(x), x) for s, (q, x) in sorted(held.items())], columns=["client", "source", "seq", "count", "results"])
 
-    return events.groupBy("client").applyInPandasWithState(update, CANDIDATES, "held string", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("client").applyInPandasWithState(update, CANDIDATES, "held string", "update", _timeout(idle_ms))
 
 
 CONSUMED = "token string, client string, outcome string"
@@ -82,14 +96,21 @@ def pending_stream(events: DataFrame, seconds: int = VALID_SECONDS) -> DataFrame
 MESSAGES = "run_id string, message_id string, text string, reasoning string, calls int"
 
 
-def message_stream(chunks: DataFrame) -> DataFrame:
+def message_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(run_id, message_id, text, reasoning, calls): each message of a run once it is closed.
 
     chunks: run_id, seq, message_id, kind (text, reasoning, call, flush), text, last. A message is closed by its last chunk,
-    by a chunk of another message, or by a flush; a flush closes only a message that has text or reasoning.
+    by a chunk of another message, or by a flush; a flush closes only a message that has text or reasoning. A run without an
+    open message has no state; one that is idle for idle_ms, if given, closes its open message as a flush does.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            current, text, reasoning, calls = state.get
+            state.remove()
+            if text or reasoning:
+                yield pd.DataFrame([(key[0], current, text, reasoning, calls)], columns=["run_id", "message_id", "text", "reasoning", "calls"])
+            return
         current, text, reasoning, calls = state.get if state.exists else ("", "", "", 0)
         out = []
         for r in sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.seq):
@@ -106,10 +127,15 @@ def message_stream(chunks: DataFrame) -> DataFrame:
             if r.last:
                 out.append((key[0], current, text, reasoning, calls))
                 current, text, reasoning, calls = "", "", "", 0
-        state.update((current, text, reasoning, int(calls)))
+        if current:
+            state.update((current, text, reasoning, int(calls)))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["run_id", "message_id", "text", "reasoning", "calls"])
 
-    return chunks.groupBy("run_id").applyInPandasWithState(update, MESSAGES, "current string, text string, reasoning string, calls int", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("run_id").applyInPandasWithState(update, MESSAGES, "current string, text string, reasoning string, calls int", "append", _timeout(idle_ms))
 
 
 def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:

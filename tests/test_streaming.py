@@ -26,6 +26,7 @@ def test_candidates_equal_batch(spark, tmp_path):
     last = {(r.client, r.source): (r.seq, r["count"]) for r in out}
     batch = {(r.client, r.source): (r.seq, len(r.results)) for r in registry.latest_candidates(spark.createDataFrame(rows, schema)).collect()}
     assert batch.items() <= last.items()
+    assert [r.results for r in out if r.seq == 3] == [["y", "z"]] * len([r for r in out if r.seq == 3])
 
 
 def test_pending_sends(spark, tmp_path):
