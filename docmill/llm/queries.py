@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmill.llm import encoding, knn, lookalike, markup, mixing, splitting, subjects, tokens
-from docmill.session import table
+from docmill.session import spread, table
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     parents = table(spark, d, "parent_docs").select(F.lit("parent_docs").alias("tbl"), F.col("parent_id").alias("rec_id"), F.col("content").alias("text"))
     previews = table(spark, d, "file_previews").select(F.lit("file_previews").alias("tbl"), F.col("preview_id").alias("rec_id"), F.col("preview_text").alias("text"))
-    return parents.unionByName(previews)
+    return spread(parents.unionByName(previews))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,12 +34,12 @@ def p2_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    stripped = markup.strip_markup(table(spark, d, "parent_docs"), ["parent_id"], "content")
+    stripped = markup.strip_markup(spread(table(spark, d, "parent_docs").select("parent_id", "content")), ["parent_id"], "content")
     return stripped.where(F.col("marks") > 0).select("parent_id").distinct()
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.strip_markup(table(spark, d, "parent_docs"), ["parent_id"], "content")
+    return markup.strip_markup(spread(table(spark, d, "parent_docs").select("parent_id", "content")), ["parent_id"], "content")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     parents = table(spark, d, "parent_docs").select(F.lit("parent_docs").alias("tbl"), F.col("parent_id").alias("item_id"), F.col("content").alias("text"))
     sections = table(spark, d, "pdf_sections").select(F.lit("pdf_sections").alias("tbl"), F.col("section_id").cast("string").alias("item_id"), splitting.joined("body_texts").alias("text"))
     drafts = table(spark, d, "pdf_drafts").select(F.lit("pdf_drafts").alias("tbl"), F.col("draft_id").cast("string").alias("item_id"), splitting.joined("texts").alias("text"))
-    return parents.unionByName(sections).unionByName(drafts)
+    return spread(parents.unionByName(sections).unionByName(drafts))
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", "file_path", "source", "doc_type")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "file_path", "source", "doc_type"))
     model = subjects.fit_subjects(docs, table(spark, d, "subject_seeds"), table(spark, d, "subject_areas"))
     return subjects.subjects_of(docs, model)
 
