@@ -12,7 +12,9 @@ from docmill.operators import catalog, chunking, cleaning, embedding, incrementa
 from docmill.plans import fixtures as fx
 from docmill.plans.fixtures import BLOCKS, CHILDREN, FILES, MESSAGES, PARENTS, RUN_EVENTS, SNAPSHOTS, VECTORS, W, collapse_sql, newlines_sql, normalize_sql, preview_sql, strip_sql
 from docmill.session import shared_dir, table
-from docmill.sources import frames, sinks
+from docmill.plans import office
+from docmill.plans.office import OFFICE
+from docmill.sources import files as sources, frames, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -860,6 +862,40 @@ def current_times(spark, d):
     return table(spark, d, "scan_results").where("started_at is not null").select("scan_id", fn.current_time(F.col("started_at")).alias("told"))
 
 
+# files of known content
+
+_BELOW = "chr(10) || chr(10)"
+_TABLE = "'| ' || replace(t, '|', '\\|') || ' |'"
+
+
+@query(f"""with {OFFICE} select '/o/' || section_id || '.docx' as path, 'docx' as kind, array_to_string(case when t <> '' then list_prepend(case when level is not null then repeat('#', least(greatest(level, 1), 6)::int) || ' ' else '' end || t, b) else b end, {_BELOW}) as text from office
+ union all select '/o/' || section_id || '.txt', 'txt', array_to_string(l, chr(10)) from lines""")
+def loaded_documents(spark, d):
+    """Texts of Word and plain files as they are loaded for indexing."""
+    made = office.files(spark, d).where(catalog.suffix_of("path").isin(".docx", ".txt"))
+    return sources.load_documents(made).select(F.col("file_path").alias("path"), F.col("doc_type").alias("kind"), "text")
+
+
+_CUT = "case when length(x) <= 8000 then x else regexp_replace(substring(x, 1, 8000), '[ \\n]+$', '') || '...' end"
+_SHEET = "list_prepend(regexp_replace(t || ' | ' || coalesce(level::varchar, ''), '[ |]+$', ''), list_transform(b[:49], lambda y: regexp_replace(y, '[ |]+$', '')))"
+
+
+@query(f"""with {OFFICE}, raw as (select '/o/' || section_id || '.docx' as path, array_to_string(l, chr(10)) as x, 'paragraph_count' as k, len(l) as n from lines union all select '/o/' || section_id || '.txt', array_to_string(l, chr(10)), 'line_count', len(l) from lines
+ union all select '/o/' || section_id || '.pptx', array_to_string(l[:2], {_BELOW}), 'slide_count', len(l) from lines union all select '/o/' || section_id || '.xlsx', regexp_replace('[S]' || chr(10) || array_to_string({_SHEET}, chr(10)), '[ \\n]+$', ''), 'sheet_count', 1 from lines) select path, {_CUT} as shown, n::bigint as n, length(x) > 8000 as truncated from raw""")
+def office_previews(spark, d):
+    """Previews at the second depth, with a count and whether they are cut."""
+    seen = sources.previews(office.files(spark, d), "L2")
+    m = F.col("metadata")
+    return seen.select("path", F.col("preview_text").alias("shown"), F.coalesce(m["paragraph_count"], m["line_count"], m["slide_count"], m["sheet_count"]).cast("long").alias("n"), m["truncated"].cast("boolean").alias("truncated"))
+
+
+@query(f"""with {OFFICE} select '/o/' || section_id || '.xlsx' as path, 'S' as sheet_name, least(len(b), 49)::bigint as bodies from office where t <> '' or level is not null or len(b) > 0""")
+def loaded_sheets(spark, d):
+    """Sheets as they are loaded: the name and the number of table rows below the head, at most 49."""
+    loaded = sources.load_documents(office.files(spark, d).where(catalog.suffix_of("path") == ".xlsx")).where("text <> ''")
+    return loaded.select(F.col("file_path").alias("path"), "sheet_name", (F.size(F.split("text", "\n")) - 2).cast("long").alias("bodies"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
