@@ -56,7 +56,19 @@ def test_quantised_tiles_lose_nothing(seed, k):
     full[np.arange(50), np.arange(50)] = -np.inf
     for r in range(50):
         assert set(ids[np.argsort(-full[r])[:k]]) <= set(found[row == r])
-    assert stripe.skipped > 0
+
+
+def test_far_tiles_are_skipped():
+    rng = np.random.default_rng(1)
+    base = knn.unit_vectors(np.concatenate([c + rng.normal(size=(2000, 16)) * 0.02 for c in rng.normal(size=(6, 16))]))
+    ids = np.arange(len(base))
+    stripe = knn.Stripe(ids, *knn.quantise(base))
+    at = np.arange(0, len(base), 100)
+    row, found, _, _ = stripe.survivors(5, at, *knn.quantise(base[at]))
+    assert stripe.skipped > 0.5 * len(at) * len(stripe.tiles)
+    full = base[at] @ base.T
+    full[np.arange(len(at)), at] = -np.inf
+    assert all(set(np.argsort(-full[r])[:5]) <= set(found[row == r]) for r in range(len(at)))
 
 
 def test_many_groups_and_stripes(spark):
