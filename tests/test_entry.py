@@ -48,5 +48,5 @@ def test_query(spark, db, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 10
+    assert entry.entry(spark).count() == 100
     assert set(entry.oracle_sql()) <= set(entry.queries())
