@@ -72,10 +72,10 @@ class Stripe:
                 centre = (c / length[:, None]).mean(0)
                 centre /= max(float(np.linalg.norm(centre)), 1e-12)
                 reach = np.arccos(np.clip(c @ centre / length, -1, 1)) + np.arcsin(np.minimum(rest[at], 1))
-                self.tiles.append((ids[at], c, scale[at], rest[at], float(reach.max())))
-                self.tiles[-1] = (*self.tiles[-1], centre)
-        self.centres = np.stack([t[5] for t in self.tiles]) if self.tiles else np.zeros((0, codes.shape[1]), np.float32)
-        self.radii = np.array([t[4] for t in self.tiles], np.float32)
+                # the bound is one more number of the vector, so that one product gives what a pair may reach
+                self.tiles.append((ids[at], np.hstack([c * scale[at, None], rest[at, None]]).T.copy(), rest[at], float(reach.max()), centre))
+        self.centres = np.stack([t[4] for t in self.tiles]) if self.tiles else np.zeros((0, codes.shape[1]), np.float32)
+        self.radii = np.array([t[3] for t in self.tiles], np.float32)
         self.skipped = 0
 
     def survivors(self, k: int, q_ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -85,26 +85,31 @@ class Stripe:
         angle = np.arccos(np.clip(q @ self.centres.T / np.linalg.norm(q, axis=1)[:, None], -1, 1))
         best = np.cos(np.maximum(angle - self.radii[None, :] - np.arcsin(np.minimum(rest, 1))[:, None], 0)) + 1e-5  # what a tile may reach
         heap = np.full((n, k), -np.inf, np.float32)
+        spare = 1 + float(rest.max(initial=0))
+        q = np.hstack([q * scale[:, None], np.full((n, 1), spare, np.float32)])
         held: list[tuple[np.ndarray, ...]] = []
         for t in np.argsort(-best.mean(0)) if n and self.tiles else ():
-            ids, c, b_scale, b_rest, _, _ = self.tiles[t]
+            ids, c, b_rest, _, _ = self.tiles[t]
             rows = np.nonzero(best[:, t] >= heap[:, -1])[0]
             self.skipped += n - len(rows)
             if not len(rows):
                 continue
             # <q,b> = <q',b'> + <q',rb> + <rq,b'> + <rq,rb>, where |q'| <= 1 + |rq| and |b'| <= 1 + |rb|
-            product = q[rows] @ c.T * (scale[rows, None] * b_scale[None, :])
-            own, other = rest[rows] * (1 + 3 * float(b_rest.max())) + 1e-6, b_rest * (1 + float(rest.max()))
-            fresh = heap[rows, -1] == -np.inf
-            floor = heap[rows, -1].copy()
+            every = len(rows) == n
+            reach = (q if every else q[rows]) @ c  # with the bound of the base vector
+            own = rest[rows] * (1 + 3 * float(b_rest.max())) + 1e-5
+            floor = heap[rows, -1]
+            fresh = floor == -np.inf
             if fresh.any() and len(ids) > k + 1:  # one more than k, as the query itself may be among them
-                floor[fresh] = np.partition(product[fresh] - other[None, :], -(k + 1), axis=1)[:, -(k + 1)] - own[fresh]
-            r, col = np.nonzero(product + other[None, :] >= (floor - own)[:, None])
+                low = np.partition(reach[fresh] - 2 * spare * b_rest[None, :], -(k + 1), axis=1)[:, -(k + 1)]
+                floor[fresh] = low - own[fresh]
+            r, col = np.divmod(np.flatnonzero(reach >= (floor - own)[:, None]), len(ids))
             keep = q_ids[rows[r]] != ids[col]
             r, col = r[keep], col[keep]
-            value, error = product[r, col], own[r] + other[col]
-            raise_floor(k, rows[r], value - error, heap)
-            held.append((rows[r], ids[col], value - error, value + error))
+            error = own[r] + spare * b_rest[col]
+            high = reach[r, col] + own[r]
+            raise_floor(k, rows[r], high - 2 * error, heap)
+            held.append((rows[r], ids[col], high - 2 * error, high))
         if not held:
             return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)
         row, ids, low, high = (np.concatenate(x) for x in zip(*held))
